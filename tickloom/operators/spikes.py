@@ -1 +1,169 @@
+"""Implausible quotes and readings, judged against what is normal for their own source."""
 
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tickloom.session import fits_broadcast
+
+# Numbers that feeds send where they have no price.
+PLACEHOLDERS = (9999.0, 99999.0, 999999.0, 9999999.0, 99999999.0, 999999999.0, 65535.0, 2147483647.0, 4294967295.0)
+
+BUCKET_US = 600_000_000
+SHARD_ROWS = 100_000
+HALO_ROWS = 2_000
+BROADCAST_BUCKETS = 200_000
+
+SCORE = 12.5  # standardised innovation; about eighteen usual moves
+MAX_RUN = 10  # quotes after which a move counts as one that stays
+STUCK_RUN = 20
+
+
+def filter_level(x: np.ndarray, move: float, score: float = SCORE, max_run: int = MAX_RUN) -> np.ndarray:
+    """Flags of a local-level Kalman filter over one session's prices.
+
+    The noise variances come from the usual quote-to-quote move. A quote whose standardised innovation exceeds score is flagged
+    and doesn't update the level. If the price comes back to the level within max_run quotes the flags stay; if it doesn't, it was a move: the flags
+    go and the filter starts again on the new level. Quotes that are off when the session ends didn't come back and aren't flagged.
+    """
+    n = len(x)
+    out = np.zeros(n, bool)
+    if n < 3 or not move > 0:
+        return out
+    sigma2 = (move / 0.6745) ** 2
+    q, r, limit = sigma2 / 2, sigma2 / 4, score * score
+    level, p = float(np.median(x[:11])), r
+    values, i, held, restarted = x.tolist(), 0, -1, -1
+    while i < n:
+        v = values[i] - level
+        prior = p + q
+        s = prior + r
+        if v * v > limit * s:
+            if held < 0:
+                held = i
+            if i - held >= max_run:
+                out[held : i + 1] = False
+                if held > restarted:
+                    restarted, level, i = held, float(np.median(x[held : i + 1])), held - 1
+                else:
+                    level = values[i]
+                held, p = -1, r
+            else:
+                out[i] = True
+        else:
+            k = prior / s
+            level += k * v
+            p = prior * (1 - k)
+            held = -1
+        i += 1
+    if held >= 0:
+        out[held:] = False
+    return out
+
+
+def vanished(x: np.ndarray, run: int = STUCK_RUN) -> np.ndarray:
+    """Whether each value lies in a stretch of run or more equal ones: the innovations' variance is zero there."""
+    if not len(x):
+        return np.zeros(0, bool)
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    lengths = np.diff(np.append(starts, len(x)))
+    return np.repeat(lengths >= run, lengths)
+
+
+def _usual_move(x: np.ndarray) -> float:
+    moves = np.abs(np.diff(x))
+    moves = moves[moves > 0]
+    return float(np.median(moves)) if len(moves) else 0.0
+
+
+def judge_session(bid: np.ndarray, ask: np.ndarray) -> dict[str, np.ndarray]:
+    """Flags by reason for the different quotes of one session in time order."""
+    n = len(bid)
+    finite = np.isfinite(bid) & np.isfinite(ask)
+    positive = finite & (bid > 0) & (ask > 0)
+    middle = np.median(np.concatenate([bid[positive], ask[positive]])) if positive.any() else 0.0
+    off = lambda x: np.isin(x, PLACEHOLDERS) & (np.abs(x - middle) > middle / 2)
+    placeholder = ~positive | off(bid) | off(ask)
+    crossed = finite & ~placeholder & (ask < bid)
+    usable = np.flatnonzero(~placeholder)
+    spike = np.zeros(n, bool)
+    for x in (bid[usable], ask[usable]):
+        spike[usable] |= filter_level(x, _usual_move(x))
+    return {"placeholder": placeholder, "crossed": crossed, "spike": spike, "stuck": vanished(bid) | vanished(ask)}
+
+
+def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["t", "n", "id"], kind="stable").reset_index(drop=True)
+    session = pdf["b"].ffill().bfill().fillna(-1).to_numpy()
+    same = pdf["b"].notna() & pdf["n"].notna()
+    # one message is one quote; rows without a number are the same quote if time and prices agree
+    named = pd.util.hash_pandas_object(pdf[["b", "n"]].fillna(-1.0), index=False)
+    priced = pd.util.hash_pandas_object(pdf[["t", "bid", "ask"]], index=False)
+    alias = pd.Series(named.to_numpy(), index=priced.to_numpy())[same.to_numpy()]
+    alias = alias[~alias.index.duplicated()]
+    quote = np.where(same, named, alias.reindex(priced.to_numpy()).fillna(0).to_numpy(np.uint64))
+    quote = np.where(~same & (quote == 0), priced, quote)
+    # a session is contiguous in time, so its first row places it
+    reasons = {k: np.zeros(len(pdf), bool) for k in ("placeholder", "crossed", "spike", "stuck")}
+    order = np.argsort(session, kind="stable")
+    bid, ask = pdf["bid"].to_numpy(), pdf["ask"].to_numpy()
+    for rows in np.split(order, np.flatnonzero(np.diff(session[order])) + 1):
+        codes, first = np.unique(quote[rows], return_index=True)
+        first = np.sort(first)
+        code_of = {c: i for i, c in enumerate(quote[rows][first].tolist())}
+        place = np.fromiter((code_of[c] for c in quote[rows].tolist()), np.int64, len(rows))
+        kept = rows[first]
+        for reason, flags in judge_session(bid[kept], ask[kept]).items():
+            reasons[reason][rows] = flags[place]
+    # a repeated row that carries other prices is judged on these as well
+    reasons["placeholder"] |= ~(np.isfinite(bid) & np.isfinite(ask) & (bid > 0) & (ask > 0))
+    reasons["crossed"] |= (ask < bid) & ~reasons["placeholder"]
+    hit = pdf["core"].to_numpy(bool) & np.logical_or.reduce(list(reasons.values()))
+    out = pd.DataFrame({"id": pdf["id"][hit], **{k: v[hit] for k, v in reasons.items()}})
+    return out
+
+
+def flag_quotes(quotes: DataFrame, shard_rows: int = SHARD_ROWS, halo_rows: int = HALO_ROWS, bucket_us: int = BUCKET_US) -> DataFrame:
+    """(id, placeholder, crossed, spike, stuck) of the implausible quotes.
+
+    quotes: id, source, instrument, t (microseconds), bid, ask (all not null), b, n (session and number; null where unknown: such a
+    row belongs to the session around it). Per source, instrument and session: a price that isn't positive and finite or is a placeholder;
+    ask below bid; a price off the level of the Kalman filter that comes back within ten quotes; stretches of twenty
+    or more different quotes without any change of bid or of ask. Rows of one message are judged once and share the verdict. Rows with a
+    null in a required column are left out; ties in time go by number and id.
+
+    A source's series is cut in time into shards of about shard_rows, each with at least halo_rows of its
+    neighbours' rows on both sides, so that a hot source or session is never one task. Counts per ten minutes, not rows, decide the cuts.
+    """
+    keys = ["source", "instrument"]
+    rows = quotes.select("id", *keys, "t", "bid", "ask", F.col("b").cast("double").alias("b"), F.col("n").cast("double").alias("n")).dropna(subset=["id", *keys, "t", "bid", "ask"])
+    rows = rows.withColumn("bucket", F.floor(F.col("t") / bucket_us).cast("long"))
+    counts = rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("bucket"))
+    before = F.col("upto") - F.col("m")
+    own = F.floor(before / shard_rows).cast("long")
+    shards = F.sequence(F.greatest(F.floor((before - halo_rows) / shard_rows).cast("long"), F.lit(0).cast("long")), F.floor((F.col("upto") + halo_rows) / shard_rows).cast("long"))
+    # a bucket serves the shards from the one that still needs its last rows to the one that needs its first
+    plan = counts.withColumn("upto", upto).select(*keys, "bucket", own.alias("own"), F.explode(shards).alias("shard"))
+    if fits_broadcast(plan, BROADCAST_BUCKETS):
+        plan = F.broadcast(plan)
+    spread = rows.join(plan, [*keys, "bucket"]).withColumn("core", F.col("shard") == F.col("own")).drop("bucket", "own")
+    return spread.groupBy(*keys, "shard").applyInPandas(_judge, "id long, placeholder boolean, crossed boolean, spike boolean, stuck boolean")
+
+
+def flag_readings(rows: DataFrame, keys: list[str], value: str, factor: float = 5.0) -> DataFrame:
+    """rows whose value is not positive, or beyond factor times or below a factor-th of the usual value of their keys.
+
+    The usual value is the median of the positive finite values, found from counts per distinct value, so that a hot
+    key costs no more than its distinct values. Null values are never flagged; null keys form their own group.
+    """
+    good = rows.where((F.col(value) > 0) & (F.col(value) < float("inf"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("m"))
+    usual = good.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, 0.5, m)").alias("usual"))
+    left, right = rows.alias("l"), usual.alias("u")
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]
+    v = F.col(f"l.{value}")
+    odd = (v <= 0) | F.isnan(v) | (v > factor * F.col("usual")) | (v < F.col("usual") / factor)
+    return left.join(right, on, "left").where(v.isNotNull() & F.coalesce(odd, v <= 0)).select("l.*", "usual")
