@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import quality, quality_sql
+from tickloom.plans import market, market_sql, quality, quality_sql, trades
 
-MODULES = [quality]
-SQL_MODULES = [quality_sql]
+MODULES = [quality, market, trades]
+SQL_MODULES = [quality_sql, market_sql, trades]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,4 +21,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return quality.p7_found(spark, d)
+    return market.breakout_report(spark, d)
