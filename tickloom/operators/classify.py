@@ -9,15 +9,18 @@ HOUR_US = 3_600_000_000
 
 # First hour (UTC) of each part of the trading day, and its label.
 SESSIONS = ((0, "asia"), (7, "london"), (12, "london_new_york_overlap"), (16, "new_york"), (21, "maintenance_or_late"))
-# Keyword groups of news relevance.
+# Keyword groups of news relevance, and how a text's groups make its score.
 RELEVANCE = {
-    "gold": ("gold", "bullion", "xau", "precious metal"),
-    "monetary_policy": ("federal reserve", "fomc", "interest rate", "central bank"),
-    "inflation": ("inflation", "cpi", "pce"),
-    "labour": ("payroll", "employment", "jobs"),
-    "dollar": ("dollar", "treasury", "yield"),
-    "geopolitics": ("war", "missile", "sanction", "conflict", "attack"),
+    "gold": ("gold", "xau", "bullion"),
+    "federal_reserve": ("federal reserve", "fomc", "fed chair", "interest rate"),
+    "inflation": ("inflation", "cpi", "pce", "consumer price"),
+    "employment": ("nonfarm", "payroll", "unemployment", "jobs report"),
+    "usd_yields": ("dollar", "dxy", "treasury", "bond yield"),
+    "geopolitics": ("war", "missile", "sanction", "ceasefire", "invasion", "conflict"),
+    "systemic_risk": ("bank failure", "banking crisis", "default", "debt ceiling"),
+    "physical_demand": ("central bank gold", "gold reserve", "china gold", "india gold"),
 }
+SCORE_BASE, SCORE_PER_GROUP, SCORE_FOR_GOLD = 0.25, 0.18, 0.25
 
 
 def session_of(t: str) -> Column:
@@ -33,11 +36,14 @@ def level_of(value: str, low: float, high: float) -> Column:
     return F.when(F.col(value) < low, "low").when(F.col(value) < high, "medium").otherwise("high")
 
 
-def relevance(rows: DataFrame, text: str, groups: dict[str, tuple[str, ...]] = RELEVANCE) -> DataFrame:
-    """rows with reasons (the keyword groups found in the text, in order) and score: their share of all groups, rounded to three places."""
+def relevance(rows: DataFrame, text: str) -> DataFrame:
+    """rows with reasons (the keyword groups found in the text, in order) and score: 0 without any, else growing with their number, at most 1. Null texts have none."""
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-    found = [F.when(lower.rlike("|".join(words)), name) for name, words in groups.items()]
-    return rows.withColumn("reasons", F.array_compact(F.array(*found))).withColumn("score", F.round(F.size("reasons") / float(len(groups)), 3))
+    found = [F.when(lower.rlike("|".join(words)), name) for name, words in RELEVANCE.items()]
+    rows = rows.withColumn("reasons", F.array_compact(F.array(*found)))
+    capped = F.least(F.lit(1.0), F.lit(SCORE_BASE) + F.lit(SCORE_PER_GROUP) * F.size("reasons"))
+    score = F.least(F.lit(1.0), capped + F.when(F.array_contains("reasons", "gold"), SCORE_FOR_GOLD).otherwise(0.0))
+    return rows.withColumn("score", F.when(F.size("reasons") == 0, 0.0).otherwise(F.round(score, 3)))
 
 
 def quality_issues(ticks: DataFrame, keys: list[str], t: str, spread: str, number: str, wide: float, gap_us: int) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 def quantized(c: Column | str, digits: int = 6) -> Column:
     """A double cut to so many places, half up: equal for sums added in different orders."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * 10**digits + 0.5).cast("double") / float(10**digits)
+    scaled = c * 10**digits
+    # beyond the whole numbers of a long there is nothing to cut
+    return F.when(F.abs(scaled) < 9e15, F.floor(scaled + 0.5).cast("double")).otherwise(F.rint(scaled + 0.5)) / float(10**digits)
 
 
 def ledger(value: str) -> list[Column]:

@@ -118,7 +118,7 @@ select source, instrument, bar_us from w anti join b using (source, instrument,
 select source, count(*) as n, {qz('quantile_cont(spread_bps, 0.5)')} as p50, {qz('quantile_cont(spread_bps, 0.95)')} as p95, {qz('quantile_cont(spread_bps, 0.99)')} as p99, max(longest_gap_s) as longest_gap_s from q join g using (source) group by source""",
     "agg36_news_quality": "select event_type, timing_quality, count(*) as n, count(distinct event_key) as keys, count(*) filter (where instrument is null) as without_instrument from news_events group by all",
     "prj02_sessions": f"with {Q}, x as (select floor((us % 86400000000) / 3600000000) as h, case when spread_bps < 1 then 'low' when spread_bps < 3 then 'medium' else 'high' end as spread_level from q) select {_SESSION} as session, spread_level, count(*) as n from x group by all",
-    "prj19_relevance": f"with x as (select distinct event_key, headline, lower(coalesce(headline, '')) as t from news_events) select event_key, {_REASONS} as reasons, floor(({_FOUND}) / 6.0 * 1000 + 0.5) / 1000.0 as score from x",
+    "prj19_relevance": f"with x as (select distinct event_key, headline, lower(coalesce(headline, '')) as t from news_events) select event_key, {_REASONS} as reasons, case when ({_FOUND}) = 0 then 0.0 else floor(least(1.0, least(1.0, 0.25 + 0.18 * ({_FOUND})) + case when regexp_matches(t, 'gold|xau|bullion') then 0.25 else 0 end) * 1000 + 0.5) / 1000.0 end as score from x",
     "prj26_quality_issues": f"""with {Q}, x as (select q.*, m.source_sequence as n from q join market_ticks m using (id)), y as (select *, row_number() over (partition by source, instrument, us, n order by id) as k, us - lag(us) over (partition by source, instrument order by us, id) as g from x)
 select id, 'duplicate' as issue from y where k > 1 and n is not null union all select id, 'wide_spread' from y where spread_bps > 20 union all select id, 'time_gap' from y where g > 300000000""",
     "breakout_report": f"""with {_out(30)}, p5 as (select source, instrument, bar_us, mid, max(mid) over r as hi, min(mid) over r as lo from s window r as ({W} range between 300000000 preceding and 1 preceding)),
