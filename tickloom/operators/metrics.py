@@ -163,7 +163,7 @@ class WalkForward:
 
 def folds(spark: SparkSession, start: datetime, end: datetime, config: WalkForward = WalkForward()) -> DataFrame:
     """(fold, train_start, train_end, validation_start, validation_end, test_start, test_end): the training part begins at start and grows by
-    the step; purge and embargo lie before validation and test. Folds whose test would end after `end` are left out."""
+    the step; purge and embargo lie before validation and test. Folds count from 1; those whose test would end after `end` are left out."""
     c, out, k = config, [], 0
     while True:
         train_end = start + timedelta(days=c.train_days + k * c.step_days)
@@ -173,7 +173,7 @@ def folds(spark: SparkSession, start: datetime, end: datetime, config: WalkForwa
         t1 = t0 + timedelta(days=c.test_days)
         if t1 > end:
             break
-        out.append((k, start, train_end, v0, v1, t0, t1))
+        out.append((k + 1, start, train_end, v0, v1, t0, t1))
         k += 1
     return spark.createDataFrame(out, "fold int, train_start timestamp, train_end timestamp, validation_start timestamp, validation_end timestamp, test_start timestamp, test_end timestamp")
 

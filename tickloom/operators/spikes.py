@@ -139,7 +139,7 @@ def flag_quotes(quotes: DataFrame, shard_rows: int = SHARD_ROWS, halo_rows: int
     neighbours' rows on both sides, so that a hot source or session is never one task. Counts per ten minutes, not rows, decide the cuts.
     """
     keys = ["source", "instrument"]
-    rows = quotes.select("id", *keys, "t", "bid", "ask", F.col("b").cast("double").alias("b"), F.col("n").cast("double").alias("n")).dropna(subset=["id", *keys, "t", "bid", "ask"])
+    rows = quotes.select("id", *keys, "t", "bid", "ask", F.col("b").cast("double").alias("b"), F.col("n").cast("double").alias("n")).where(" and ".join(f"{c} is not null" for c in ("id", *keys, "t", "bid", "ask")))
     rows = rows.withColumn("bucket", F.floor(F.col("t") / bucket_us).cast("long"))
     counts = rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("m"))
     upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("bucket"))
