@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.session import held
+
 # The columns of a recorder file, in order.
 RECORDER_COLUMNS = ("record_type", "received_utc", "server_time", "monotonic_ms", "session_id", "source_sequence", "broker", "server", "symbol", "bid", "ask", "spread_points")
 # The record types of a recorder file.
@@ -55,12 +57,12 @@ def parse_lines(lines: DataFrame, columns: tuple[str, ...] = RECORDER_COLUMNS, t
     text = F.regexp_replace("line", r"\r\z", "")
     bare = F.when(text.startswith(BOM), F.substr(text, F.lit(2))).otherwise(text)
     rows = lines.select("line_id", "file_name", "line_no", text.alias("text"), bare.alias("bare")).where((F.col("bare") != "") & (F.col("bare") != header)).drop("bare")
-    rows = rows.withColumn("quoting", quoting_broken(F.col("text"))).withColumn("fields", F.when(~F.col("quoting"), fields_of(F.col("text"))))
+    rows = held(held(rows, quoting=quoting_broken(F.col("text"))), fields=F.when(~F.col("quoting"), fields_of(F.col("text"))))
     rows = rows.withColumn("fits", F.coalesce(F.size("fields") == len(columns), F.lit(False)))
     rows = rows.select("line_id", "file_name", "line_no", "quoting", "fits", *[F.when(F.col("fits"), F.get("fields", F.lit(i))).alias(c) for i, c in enumerate(columns)])
     checks = [F.when(~F.col("record_type").isin(*types), "record_type"), *[F.when(~positive_number(F.col(c)), c) for c in ("bid", "ask")]]
     errors = F.when(F.col("quoting"), F.array(F.lit("quoting"))).when(~F.col("fits"), F.array(F.lit("column_count"))).otherwise(F.array_compact(F.array(*checks)))
-    return rows.withColumn("errors", errors).drop("quoting", "fits")
+    return held(rows, errors=errors).drop("quoting", "fits")
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

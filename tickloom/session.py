@@ -56,6 +56,14 @@ def us(column: str | Column) -> Column:
     return F.unix_micros((F.col(column) if isinstance(column, str) else column).cast("timestamp"))
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once per row.
+
+    The optimizer copies an expression to each place that uses it, filters among them. A generator in between keeps costly ones single.
+    """
+    return df.withColumn("_held", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select("*", "_held.*").drop("_held")
+
+
 def fits_broadcast(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows, found without reading much more than that."""
     return df.limit(rows + 1).count() <= rows
