@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import grid, late, nearest, rowparse, spikes, timestamps, upsert
-from tickloom.session import cut, fits_broadcast, load, us
+from tickloom.session import cut, fits_broadcast, held, load, us
 
 SMALL = 100_000
 
@@ -34,7 +34,7 @@ def _zone_table(sources: DataFrame) -> timestamps.ZoneTable:
 def _tick_choice(twice: DataFrame, certain: DataFrame, ticks: DataFrame, sessions: DataFrame, block: int = 1024) -> DataFrame:
     """Of tick texts whose wall time occurs twice, the instant that fits the neighbours by number in the batch, the session and the row's arrival."""
     keys = twice.where("b is not null").select("source", "b").distinct()
-    known = ticks.select("source", upsert.sequence_pair("source_sequence").alias("q"), us("occurred_at").alias("at")).where("at is not null and q is not null").select("source", "q.b", "q.n", "at")
+    known = held(ticks.where("occurred_at is not null and source_sequence is not null").select("source", "source_sequence", us("occurred_at").alias("at")), q=upsert.sequence_pair("source_sequence")).where("q is not null").select("source", "q.b", "q.n", "at")
     known = known.unionByName(certain.where("b is not null").select("source", "b", "n", F.col("lo").alias("at")))
     known = known.join(_small(keys), ["source", "b"], "left_semi").withColumn("blk", F.floor(F.col("n") / block))
     # blocks of numbers, so that no batch, however long, is one task; the blocks' bounds carry over
@@ -100,7 +100,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def _quotes(spark: SparkSession, d: str) -> DataFrame:
     pair = upsert.sequence_pair("source_sequence")
     rows = load(spark, d, "market_ticks").where("occurred_at is not null and bid is not null and ask is not null")
-    return rows.select("id", "source", "instrument", us("occurred_at").alias("t"), "bid", "ask", pair.alias("q")).select("id", "source", "instrument", "t", "bid", "ask", F.col("q.b").alias("b"), F.col("q.n").alias("n"))
+    return held(rows.select("id", "source", "instrument", us("occurred_at").alias("t"), "bid", "ask", "source_sequence"), q=pair).select("id", "source", "instrument", "t", "bid", "ask", F.col("q.b").alias("b"), F.col("q.n").alias("n"))
 
 
 def p2_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +164,7 @@ def p4_hourly(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pair = upsert.sequence_pair("source_sequence")
-    ticks = load(spark, d, "market_ticks").select("id", "source", pair.alias("q"), us("received_at").alias("received")).where("source is not null and q is not null")
+    ticks = held(load(spark, d, "market_ticks").select("id", "source", "source_sequence", us("received_at").alias("received")).where("source is not null and source_sequence is not null"), q=pair).where("q is not null")
     ticks = ticks.select("id", "source", F.col("q.b").alias("b"), F.col("q.n").alias("n"), "received")
     of_ticks = upsert.superseded(ticks, ["source", "b", "n"], "received", "id").select(F.lit("market_ticks").alias("table_name"), F.col("id").alias("row_key"))
     rows = load(spark, d, "event_envelopes").select("envelope_id", upsert.canonical_uuid("event_id").alias("event"), upsert.canonical_key("idempotency_key").alias("key"), us("received_at").alias("received"))
