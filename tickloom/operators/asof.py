@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.shards import carried, shard_of
+from tickloom.operators.shards import SHARD_US, shard_of
 
 HOUR_US = 3_600_000_000
 
@@ -15,7 +15,8 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_
 
     strict leaves out right rows at the very instant. Right rows beyond tolerance_us give nulls, as does the lack of any. Of right rows at
     one instant the one with the greatest columns counts (forward: the smallest). Left rows with a null key or time
-    are kept with nulls. Both sides are merged and sorted once per (keys, shard); values carry over between shards through a summary.
+    are kept with nulls. Both sides are merged and sorted once per (keys, shard). With a
+    tolerance right rows near a border are copied to the next shard; without one each shard is given what it would carry from its neighbours.
     """
     forward = direction == "forward"
     value = F.struct(F.col(right_t).alias("t"), *columns)
@@ -28,15 +29,46 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_
     rights = rights.groupBy(*keys, "_t", "_o").agg(fold).withColumn("_row", F.lit(None).cast(ls.schema["_row"].dataType))
     good = has + f" and `{left_t}` is not null"
     lefts = ls.where(good).select(*keys, F.col(left_t).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast(rights.schema["_r"].dataType).alias("_r"), "_row")
-    merged = carried(rights.select(lefts.columns).unionByName(lefts), keys, ["_t", "_o"], F.col("_r"), "_found", shard_of("_t"), forward=forward)
-    hit = merged.where("_row is not null")
+    if tolerance_us is None:
+        both, ends = _filled(rights.select(lefts.columns), lefts, keys, forward)
+    else:
+        # nothing further than the tolerance counts: right rows near a border also go to the next shard
+        width = max(SHARD_US, tolerance_us)
+        reach = (F.col("_t") - tolerance_us, F.col("_t")) if forward else (F.col("_t"), F.col("_t") + tolerance_us)
+        spread = rights.select(lefts.columns).withColumn("_shard", F.explode(F.sequence(*[shard_of(e, width) for e in reach])))
+        both, ends = spread.unionByName(lefts.withColumn("_shard", shard_of("_t", width))), None
+    w = Window.partitionBy(*keys, "_shard").orderBy("_t", "_o")
+    found = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    merged = both.withColumn("_found", found).where("_row is not null")
+    if ends is not None:
+        beyond = F.col("_shard") < F.col("_edge") if forward else F.col("_shard") > F.col("_edge")
+        merged = merged.join(ends, keys, "left").withColumn("_found", F.coalesce("_found", F.when(beyond, F.col("_end"))))
     near = F.lit(True) if tolerance_us is None else F.abs(F.col("_found.t") - F.col("_t")) <= tolerance_us
     names = [F.when(near, F.col(f"_found.{c}")).alias(prefix + c) for c in ["t", *columns]]
-    out = hit.select("_row.*", *names)
+    out = merged.select("_row.*", *names)
     rest = left.where(f"not ({good})")
     return out.unionByName(rest.select("*", *[F.lit(None).cast(out.schema[prefix + c].dataType).alias(prefix + c) for c in ["t", *columns]]))
 
 
+def _filled(rights: DataFrame, lefts: DataFrame, keys: list[str], forward: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides with shards, each shard up to the next one with right rows given what it would carry; and what holds beyond the last such shard of a key.
+
+    Fillers are one row per key and empty shard of the right side's time span. The left side is read once.
+    """
+    rights = rights.withColumn("_shard", shard_of("_t"))
+    edge = F.struct("_t", "_o", "_r")
+    known = rights.groupBy(*keys, "_shard").agg((F.min(edge) if forward else F.max(edge)).alias("_k"))
+    by = Window.partitionBy(*keys).orderBy("_shard")
+    if forward:
+        steps, at, order = F.sequence(F.lag("_shard").over(by), F.col("_shard") - 1), (F.col("_shard") + 1) * SHARD_US, 9
+    else:
+        steps, at, order = F.sequence(F.col("_shard") + 1, F.lead("_shard").over(by)), F.col("_shard") * SHARD_US - 1, -1
+    fillers = known.withColumn("_steps", steps).where("_steps is not null").select(*keys, F.explode("_steps").alias("_shard"), F.col("_k._r").alias("_r"))
+    fillers = fillers.select(*keys, at.cast("long").alias("_t"), F.lit(order).alias("_o"), "_r", F.lit(None).cast(lefts.schema["_row"].dataType).alias("_row"), "_shard")
+    ends = known.groupBy(*keys).agg((F.min if forward else F.max)(F.struct("_shard", "_k")).alias("_e")).select(*keys, F.col("_e._shard").alias("_edge"), F.col("_e._k._r").alias("_end"))
+    return rights.unionByName(fillers).unionByName(lefts.withColumn("_shard", shard_of("_t"))), ends
+
+
 def between(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, start: str, end: str, width_us: int = HOUR_US, how: str = "inner") -> DataFrame:
     """points joined to the intervals [start, end] of their keys that hold them.
 

@@ -46,9 +46,12 @@ def outcomes(bars: DataFrame, horizon_s: int, config: OutcomeConfig = OutcomeCon
         rows = rows.withColumn(name, pick(f(side).over(path), F.col(f"exit.{side}")))
     # entries by a merge of decisions (at the instant they may execute) and quotes
     entry = F.struct("open_us", "open_bid", "open_ask", "segment", "exit", "bid_high", "bid_low", "ask_high", "ask_low")
-    quotes = rows.select(*SERIES, "shard", F.col("open_us").alias("_t"), F.lit(1).alias("_o"), entry.alias("e"), F.lit(None).cast("long").alias("bar_us"), F.lit(None).cast("long").alias("own_segment"))
-    decisions = rows.where("core").select(*SERIES, "shard", (F.col("bar_us") + SECOND + c.latency_us).alias("_t"), F.lit(0).alias("_o"), F.lit(None).cast(quotes.schema["e"].dataType).alias("e"), "bar_us", F.col("segment").alias("own_segment"))
-    merged = quotes.unionByName(decisions)
+    rows = rows.withColumn("e", entry)
+    kind, none = rows.schema["e"].dataType, F.lit(None)
+    event = lambda t, o, e, bar, own: F.struct(t.alias("_t"), F.lit(o).alias("_o"), e.alias("e"), bar.alias("bar_us"), own.alias("own_segment"))
+    as_quote = event(F.col("open_us"), 1, F.col("e"), none.cast("long"), none.cast("long"))
+    as_decision = event(F.col("bar_us") + SECOND + c.latency_us, 0, none.cast(kind), F.col("bar_us"), F.col("segment").cast("long"))
+    merged = rows.select(*SERIES, "shard", F.explode(F.when(F.col("core"), F.array(as_quote, as_decision)).otherwise(F.array(as_quote))).alias("v")).select(*SERIES, "shard", "v.*")
     nxt = F.first("e", ignorenulls=True).over(Window.partitionBy(*SERIES, "shard").orderBy("_t", "_o").rowsBetween(0, Window.unboundedFollowing))
     found = merged.withColumn("e", nxt).where("bar_us is not null")
     entered = (F.col("e.open_us") - F.col("_t") <= c.max_entry_delay_us) & (F.col("e.segment") == F.col("own_segment"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import market, market_sql, quality, quality_sql, trades
+from tickloom.plans import labs, market, market_sql, quality, quality_sql, trades
 
-MODULES = [quality, market, trades]
-SQL_MODULES = [quality_sql, market_sql, trades]
+MODULES = [quality, market, trades, labs]
+SQL_MODULES = [quality_sql, market_sql, trades, labs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
