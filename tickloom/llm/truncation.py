@@ -91,7 +91,8 @@ def truncated(docs: DataFrame, bandwidth: int = BANDWIDTH, false_discovery: floa
     A text is at a limit if its length is significant among its source's lengths (length_hazards). Its ending is complete if,
     white space and cut marks aside, it ends with a sentence mark, is a list item, a row of figures or a note in brackets, or is a
     line of its own that stands at the end of texts or lines elsewhere: a sign-off by its whole form, a headline by its last word,
-    counted over all documents but never from texts at a limit. Incomplete endings are cut: reason limit at a significant length or before a
+    counted over all different documents but never from texts at a limit; a beginning of a
+    longer word that occurs nowhere else is a fragment and ends nothing. Incomplete endings are cut: reason limit at a significant length or before a
     cut mark, else transfer. A short number after a plain word with
     nothing behind its point counts as incomplete at a significant length or before a mark only. Texts cut right after a complete
     sentence, blank texts and null texts are not cut; null sources form one source.
@@ -111,8 +112,8 @@ def truncated(docs: DataFrame, bandwidth: int = BANDWIDTH, false_discovery: floa
     # lines of their own without a sentence mark: their forms and last words, as endings and in running text
     lone = at.where("not ended and not prose and not item and not blank and not marked")
     form = F.regexp_replace(F.lower("line"), r"\d+", "9")
-    forms = lone.where("not limit").groupBy(form.alias("form")).agg(F.count(F.lit(1)).alias("form_n"))
-    closing = lone.where("not limit").groupBy("word").agg(F.count(F.lit(1)).alias("closing"))
+    forms = lone.where("not limit").select(form.alias("form"), "hash").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("form_n"))
+    closing = lone.where("not limit").select("word", "hash").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("closing"))
     asked = lone.select("word").distinct()
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'’\-]*|\n|[^\s\p{L}\p{N}]+)"), F.lit(1))
     body = docs.where("text is not null").select(tokens.alias("t"))
@@ -126,9 +127,9 @@ def truncated(docs: DataFrame, bandwidth: int = BANDWIDTH, false_discovery: floa
     inside = F.col("seen") - F.col("ends")
     finals = F.col("ends") + F.col("closing")
     fragment = (inside == 0) & (F.col("ends") == 0) & F.coalesce("prefix", F.lit(False))
-    known = known.select("word", ((finals >= SUPPORT) & (finals >= inside) & ~fragment).alias("word_ends"))
+    known = known.select("word", fragment.alias("fragment"), ((finals >= SUPPORT) & (finals >= inside) & ~fragment).alias("word_ends"))
     judged = lone.select("doc_id", "hash", form.alias("form"), "word").join(forms, "form", "left").join(known, "word", "left")
-    judged = judged.groupBy("doc_id", "hash").agg(F.max(F.coalesce(F.col("form_n") >= SUPPORT, F.lit(False)) | F.coalesce("word_ends", F.lit(False))).alias("whole"))
+    judged = judged.groupBy("doc_id", "hash").agg(F.max((F.coalesce(F.col("form_n") >= SUPPORT, F.lit(False)) & ~F.coalesce("fragment", F.lit(False))) | F.coalesce("word_ends", F.lit(False))).alias("whole"))
     full = at.join(judged, ["doc_id", "hash"], "left")
     complete = (F.col("ended") & ~(F.col("open_number") & (F.col("limit") | F.col("marked")))) | F.col("blank") | (~F.col("marked") & (F.col("item") | F.coalesce("whole", F.lit(False))))
     lost = ~complete
