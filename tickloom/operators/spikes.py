@@ -17,7 +17,7 @@ SHARD_ROWS = 100_000
 HALO_ROWS = 2_000
 BROADCAST_BUCKETS = 200_000
 
-SCORE = 12.5  # standardised innovation; about eighteen usual moves
+SCORE = 11.5  # standardised innovation; some sixteen usual moves
 MAX_RUN = 10  # quotes after which a move counts as one that stays
 STUCK_RUN = 20
 
