@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import grid, late, nearest, rowparse, spikes, timestamps, upsert
+from tickloom.operators.metrics import quantized
 from tickloom.session import cut, fits_broadcast, held, load, us
 
 SMALL = 100_000
@@ -151,7 +152,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_changelog(spark: SparkSession, d: str) -> DataFrame:
-    return _changes(spark, d, 60_000_000)
+    return _changes(spark, d, 60_000_000).withColumn("total", quantized("total", 3))
 
 
 def p4_hourly(spark: SparkSession, d: str) -> DataFrame:

@@ -78,6 +78,18 @@ ORACLE = {
     "p4_hourly": _ROWS4 + "select table_name, source, series, cast(floor(period_start_us / 3600000000) as bigint) * 3600000000 as period_start_us, count(*) as n from timed where late < 1200000000 group by all",
     "p5_found": _P5,
     "p6_found": _FIELDS6 + "select line_id, reason from judged where reason is not null",
+    "p6_records": _FIELDS6 + "select line_id, file_name, line_no, record_type, received_utc, server_time, try_cast(trim(monotonic_ms) as bigint) as monotonic_ms, session_id, source_sequence, broker, server, symbol, "
+    "try_cast(trim(bid) as double) as bid, try_cast(trim(ask) as double) as ask, try_cast(trim(spread_points) as double) as spread_points from judged where reason is null",
+    "p4_changelog": _ROWS4
+    + """, parts as (select table_name, source, series, period_start_us, case when late < 0 then 0 when late >= 1200000000 then -1 else 1 + cast(floor(late / 60000000) as integer) end as version, count(*) as n, sum(v) as total, min(v) as low, max(v) as high from timed group by all),
+run as (select *, sum(case when version >= 0 then n end) over u as rn, sum(case when version >= 0 then total end) over u as rt, min(case when version >= 0 then low end) over u as rl, max(case when version >= 0 then high end) over u as rh
+  from parts window u as (partition by table_name, source, series, period_start_us order by version rows unbounded preceding)),
+old as (select *, lag(rn) over w as pn, lag(rt) over w as pt, lag(rl) over w as pl, lag(rh) over w as ph from run window w as (partition by table_name, source, series, period_start_us order by version)),
+moves as (
+  select table_name, source, series, period_start_us, version, 'refused' as verdict, 0 as op, n, total, low, high from old where version < 0
+  union all select table_name, source, series, period_start_us, version, case when version > 0 then 'corrected' else 'on_time' end, 1, cast(rn as bigint), rt, rl, rh from old where version >= 0
+  union all select table_name, source, series, period_start_us, version, case when version > 0 then 'corrected' else 'on_time' end, -1, cast(pn as bigint), pt, pl, ph from old where version >= 0 and pn is not null)
+select table_name, source, series, period_start_us, version, verdict, op, n, case when abs(total * 1000) < 9e15 then floor(total * 1000 + 0.5) / 1000.0 else total end as total, low, high from moves""",
     "p7_found": """
 with slots as (
   select source, instrument, unnest(range(cast(ceil(epoch_us(opened_at) / 60000000) as bigint), cast(floor(epoch_us(closed_at) / 60000000) as bigint))) as slot from feed_sessions
