@@ -137,6 +137,17 @@ def test_shards_do_not_change_the_verdicts(spark):
     assert set(whole) == set(cut) and {500, 1200, 1201, 2400, *range(995, 1025)} == set(whole)
 
 
+def test_copies_of_a_row_are_judged_together(spark):
+    bids = session()
+    bids[50] = round(bids[50] + 2, 2)
+    rows = [(i, "s", "X", i * 1_000_000, b, round(b + 0.05, 2), 1, i + 1) for i, b in enumerate(bids)]
+    rows += [(1000 + k, *rows[50][1:]) for k in range(3000)] + [(9000 + k, *rows[60][1:]) for k in range(3000)] + [(20_000, *rows[50][1:6], None, None)]
+    df = spark.createDataFrame(rows, "id long, source string, instrument string, t long, bid double, ask double, b long, n long")
+    want = {50, 20_000, *range(1000, 4000)}
+    for kw in ({}, {"shard_rows": 60, "halo_rows": 40, "bucket_us": 5_000_000}):
+        assert {r["id"] for r in spikes.flag_quotes(df, **kw).collect()} == want
+
+
 def test_spikes_without_rows_and_with_nulls(spark):
     schema = "id long, source string, instrument string, t long, bid double, ask double, b long, n long, core string"
     assert spikes.flag_quotes(spark.createDataFrame([], schema)).count() == 0

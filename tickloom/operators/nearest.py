@@ -83,7 +83,8 @@ def nearest_by_time(left: DataFrame, right: DataFrame, block_us: int = BLOCK_US,
 
     Entities are cut into time blocks, so that no entity, however hot, becomes one task; a left row goes to every block
     its tolerance touches. Right rows of blocks without left rows are dropped before the shuffle when the blocks in use
-    are few enough to broadcast (broadcast_keys rows, counted first); else all right rows are shuffled, as narrow rows.
+    are few enough to broadcast (broadcast_keys rows, counted first); else all right rows are shuffled, as narrow rows. Equal left rows, and
+    right rows of one instant, become one before that, so that copies never pile up in a block.
     """
     lo, hi = (F.floor((F.col("t") + s * F.col("tol")) / block_us).cast("long") for s in (-1, 1))
     lefts = (
@@ -92,9 +93,11 @@ def nearest_by_time(left: DataFrame, right: DataFrame, block_us: int = BLOCK_US,
         .select("left_table", "left_key", "entity", "t", "tol", F.explode(F.sequence(lo, hi)).alias("block"))
     )
     rights = right.select("entity", F.col("t").cast("long").alias("t"), F.col("rid").cast("long").alias("rid")).where("entity is not null and t is not null and rid is not null").withColumn("block", F.floor(F.col("t") / block_us).cast("long"))
+    lefts = lefts.distinct()
     used = lefts.select("entity", "block").distinct()
     if fits_broadcast(used, broadcast_keys):
         rights = rights.join(F.broadcast(used), ["entity", "block"], "left_semi")
+    rights = rights.groupBy("entity", "block", "t").agg(F.min("rid").alias("rid"))
     columns = ["entity", "block", "t", "kind", "rid", "tol", "left_table", "left_key"]
     both = (
         rights.select("entity", "block", "t", F.lit(0).alias("kind"), "rid", F.lit(0).cast("long").alias("tol"), F.lit(None).cast("string").alias("left_table"), F.lit(None).cast("string").alias("left_key"))

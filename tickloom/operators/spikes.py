@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.session import fits_broadcast
+from tickloom.session import cut, fits_broadcast
 
 # Numbers that feeds send where they have no price.
 PLACEHOLDERS = (9999.0, 99999.0, 999999.0, 9999999.0, 99999999.0, 999999999.0, 65535.0, 2147483647.0, 4294967295.0)
@@ -95,8 +95,12 @@ def judge_session(bid: np.ndarray, ask: np.ndarray) -> dict[str, np.ndarray]:
     return {"placeholder": placeholder, "crossed": crossed, "spike": spike, "stuck": vanished(bid) | vanished(ask)}
 
 
+_FIELDS = ("source string", "instrument string", "t long", "bid double", "ask double", "b double", "n double", "id long", "copies long")
+
+
 def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["t", "n", "id"], kind="stable").reset_index(drop=True)
+    given, pdf = pdf, pdf.assign(b=pdf["b"].where(pdf["b"] >= 0), n=pdf["n"].where(pdf["n"] >= 0))
     session = pdf["b"].ffill().bfill().fillna(-1).to_numpy()
     same = pdf["b"].notna() & pdf["n"].notna()
     # one message is one quote; rows without a number are the same quote if time and prices agree
@@ -122,8 +126,7 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     reasons["placeholder"] |= ~(np.isfinite(bid) & np.isfinite(ask) & (bid > 0) & (ask > 0))
     reasons["crossed"] |= (ask < bid) & ~reasons["placeholder"]
     hit = pdf["core"].to_numpy(bool) & np.logical_or.reduce(list(reasons.values()))
-    out = pd.DataFrame({"id": pdf["id"][hit], **{k: v[hit] for k, v in reasons.items()}})
-    return out
+    return given.loc[hit, [f.split()[0] for f in _FIELDS]].assign(**{k: v[hit] for k, v in reasons.items()})
 
 
 def flag_quotes(quotes: DataFrame, shard_rows: int = SHARD_ROWS, halo_rows: int = HALO_ROWS, bucket_us: int = BUCKET_US) -> DataFrame:
@@ -137,21 +140,32 @@ def flag_quotes(quotes: DataFrame, shard_rows: int = SHARD_ROWS, halo_rows: int
 
     A source's series is cut in time into shards of about shard_rows, each with at least halo_rows of its
     neighbours' rows on both sides, so that a hot source or session is never one task. Counts per ten minutes, not rows, decide the cuts.
+    Rows equal in everything but the id are judged as one before they are grouped, so that copies of a row, however many, don't fill a shard.
     """
     keys = ["source", "instrument"]
-    rows = quotes.select("id", *keys, "t", "bid", "ask", F.col("b").cast("double").alias("b"), F.col("n").cast("double").alias("n")).where(" and ".join(f"{c} is not null" for c in ("id", *keys, "t", "bid", "ask")))
+    same = [*keys, "t", "bid", "ask", "b", "n"]
+    rows = quotes.select("id", *keys, "t", "bid", "ask", F.coalesce(F.col("b").cast("double"), F.lit(-1.0)).alias("b"), F.coalesce(F.col("n").cast("double"), F.lit(-1.0)).alias("n"))
+    rows = rows.where(" and ".join(f"{c} is not null" for c in ("id", *keys, "t", "bid", "ask")))
     rows = rows.withColumn("bucket", F.floor(F.col("t") / bucket_us).cast("long"))
-    counts = rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("m"))
+    quotes_once = rows.groupBy(*same, "bucket").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    # how many different quotes a bucket holds, near enough to place the cuts; the verdicts don't depend on where they lie
+    counts = rows.groupBy(*keys, "bucket").agg(F.approx_count_distinct(F.xxhash64(*same), 0.05).alias("m"))
     upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("bucket"))
     before = F.col("upto") - F.col("m")
     own = F.floor(before / shard_rows).cast("long")
     shards = F.sequence(F.greatest(F.floor((before - halo_rows) / shard_rows).cast("long"), F.lit(0).cast("long")), F.floor((F.col("upto") + halo_rows) / shard_rows).cast("long"))
     # a bucket serves the shards from the one that still needs its last rows to the one that needs its first
-    plan = counts.withColumn("upto", upto).select(*keys, "bucket", own.alias("own"), F.explode(shards).alias("shard"))
+    plan = cut(counts.withColumn("upto", upto).select(*keys, "bucket", own.alias("own"), F.explode(shards).alias("shard")))
     if fits_broadcast(plan, BROADCAST_BUCKETS):
         plan = F.broadcast(plan)
-    spread = rows.join(plan, [*keys, "bucket"]).withColumn("core", F.col("shard") == F.col("own")).drop("bucket", "own")
-    return spread.groupBy(*keys, "shard").applyInPandas(_judge, "id long, placeholder boolean, crossed boolean, spike boolean, stuck boolean")
+    spread = quotes_once.join(plan, [*keys, "bucket"]).withColumn("core", F.col("shard") == F.col("own")).drop("bucket", "own")
+    reasons = ["placeholder", "crossed", "spike", "stuck"]
+    judged = cut(spread.groupBy(*keys, "shard").applyInPandas(_judge, ", ".join([*_FIELDS, *(f"{r} boolean" for r in reasons)])))
+    # verdicts on copies go back to all their rows
+    copied = judged.where("copies > 1").select(*same, *reasons)
+    if fits_broadcast(copied, BROADCAST_BUCKETS):
+        copied = F.broadcast(copied)
+    return judged.where("copies = 1").select("id", *reasons).unionByName(rows.join(copied, same).select("id", *reasons))
 
 
 def flag_readings(rows: DataFrame, keys: list[str], value: str, factor: float = 5.0) -> DataFrame:

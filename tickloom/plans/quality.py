@@ -37,23 +37,24 @@ def _tick_choice(twice: DataFrame, certain: DataFrame, ticks: DataFrame, session
     keys = twice.where("b is not null").select("source", "b").distinct()
     known = held(ticks.where("occurred_at is not null and source_sequence is not null").select("source", "source_sequence", us("occurred_at").alias("at")), q=upsert.sequence_pair("source_sequence")).where("q is not null").select("source", "q.b", "q.n", "at")
     known = known.unionByName(certain.where("b is not null").select("source", "b", "n", F.col("lo").alias("at")))
-    known = known.join(_small(keys), ["source", "b"], "left_semi").withColumn("blk", F.floor(F.col("n") / block))
+    known = known.join(_small(keys), ["source", "b"], "left_semi").groupBy("source", "b", "n").agg(F.min("at").alias("at"), F.max("at").alias("top")).withColumn("blk", F.floor(F.col("n") / block))
     # blocks of numbers, so that no batch, however long, is one task; the blocks' bounds carry over
-    bounds = known.groupBy("source", "b", "blk").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    bounds = known.groupBy("source", "b", "blk").agg(F.min("at").alias("first"), F.max("top").alias("last"))
     asked = twice.where("b is not null").select("source", "b", F.floor(F.col("n") / block).alias("blk")).distinct()
     over = Window.partitionBy("source", "b").orderBy("blk")
     bounds = bounds.unionByName(asked.withColumns({"first": F.lit(None).cast("long"), "last": F.lit(None).cast("long")})).groupBy("source", "b", "blk").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     bounds = bounds.select("source", "b", "blk", F.max("last").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("p0"), F.min("first").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("n0"))
-    rows = twice.where("b is not null").select("id", "source", "b", "n", F.lit(None).cast("long").alias("at"), F.floor(F.col("n") / block).alias("blk"))
+    # copies of a message ask once
+    rows = twice.where("b is not null").select("source", "b", "n").distinct().withColumns({"at": F.lit(None).cast("long"), "top": F.lit(None).cast("long"), "blk": F.floor(F.col("n") / block), "asks": F.lit(True)})
     inside = Window.partitionBy("source", "b", "blk").orderBy("n")
-    rows = known.select(F.lit(None).cast("long").alias("id"), "source", "b", "n", "at", "blk").unionByName(rows)
-    rows = rows.withColumn("p1", F.max("at").over(inside.rangeBetween(Window.unboundedPreceding, -1))).withColumn("n1", F.min("at").over(inside.rangeBetween(1, Window.unboundedFollowing))).where("id is not null")
-    near = rows.join(bounds, ["source", "b", "blk"], "left").groupBy("id").agg(F.max(F.greatest("p0", "p1")).alias("prev"), F.min(F.least("n0", "n1")).alias("next"))
+    rows = known.withColumn("asks", F.lit(False)).unionByName(rows.select("source", "b", "n", "at", "top", "blk", "asks"))
+    rows = rows.withColumn("p1", F.max("top").over(inside.rangeBetween(Window.unboundedPreceding, -1))).withColumn("n1", F.min("at").over(inside.rangeBetween(1, Window.unboundedFollowing))).where("asks")
+    near = rows.join(bounds, ["source", "b", "blk"], "left").select("source", "b", "n", F.greatest("p0", "p1").alias("prev"), F.least("n0", "n1").alias("next"))
     spans = sessions.select("source", F.col("batch_no").alias("b"), us("opened_at").alias("opened"), us("closed_at").alias("closed")).where("source is not null and b is not null").groupBy("source", "b").agg(F.min("opened").alias("opened"), F.max("closed").alias("closed"))
     # rows without a number: the arrival of their neighbours in the ingest batch stands in for a missing arrival
     lost = twice.where("arrived is null and batch_id is not null").select("source", "batch_id").distinct()
     mates = ticks.select("source", "batch_id", us("received_at").alias("mate")).join(_small(lost), ["source", "batch_id"], "left_semi").groupBy("source", "batch_id").agg(F.min("mate").alias("mate"))
-    full = twice.join(near, "id", "left").join(spans, ["source", "b"], "left").join(mates, ["source", "batch_id"], "left")
+    full = twice.join(near, ["source", "b", "n"], "left").join(spans, ["source", "b"], "left").join(mates, ["source", "batch_id"], "left")
     low, high, seen = F.coalesce("prev", "opened"), F.coalesce("next", "closed"), F.coalesce("arrived", "mate")
 
     def cost(c: str):
