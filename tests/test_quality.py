@@ -137,6 +137,14 @@ def test_shards_do_not_change_the_verdicts(spark):
     assert set(whole) == set(cut) and {500, 1200, 1201, 2400, *range(995, 1025)} == set(whole)
 
 
+def test_a_move_that_stays_may_wander(spark):
+    bids = session()
+    for i in range(100, 200):
+        bids[i] = round(bids[i] - 0.36 + (0.06 if i % 3 else 0.0), 2)  # between 15 and 24 usual moves below
+    bids[40] = round(bids[40] + 0.5, 2)
+    assert {i for i, r in flagged(spark, bids).items() if r["spike"]} == {40}
+
+
 def test_copies_of_a_row_are_judged_together(spark):
     bids = session()
     bids[50] = round(bids[50] + 2, 2)

@@ -26,8 +26,8 @@ def filter_level(x: np.ndarray, move: float, score: float = SCORE, max_run: int
     """Flags of a local-level Kalman filter over one session's prices.
 
     The noise variances come from the usual quote-to-quote move. A quote whose standardised innovation exceeds score is flagged
-    and doesn't update the level. If the price comes back to the level within max_run quotes the flags stay; if it doesn't, it was a move: the flags
-    go and the filter starts again on the new level. Quotes that are off when the session ends didn't come back and aren't flagged.
+    and doesn't update the level, and so are the ones after it until the price has come at least half the way back. If it does so within max_run
+    quotes the flags stay; if it doesn't, it was a move: the flags go and the filter starts again on the new level. Quotes that are off when the session ends didn't come back and aren't flagged.
     """
     n = len(x)
     out = np.zeros(n, bool)
@@ -36,14 +36,14 @@ def filter_level(x: np.ndarray, move: float, score: float = SCORE, max_run: int
     sigma2 = (move / 0.6745) ** 2
     q, r, limit = sigma2 / 2, sigma2 / 4, score * score
     level, p = float(np.median(x[:11])), r
-    values, i, held, restarted = x.tolist(), 0, -1, -1
+    values, i, held, restarted, back = x.tolist(), 0, -1, -1, 0.0
     while i < n:
         v = values[i] - level
         prior = p + q
         s = prior + r
-        if v * v > limit * s:
+        if v * v > limit * s or held >= 0 and abs(v) > back:
             if held < 0:
-                held = i
+                held, back = i, abs(v) / 2
             if i - held >= max_run:
                 out[held : i + 1] = False
                 if held > restarted:
