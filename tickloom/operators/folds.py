@@ -6,14 +6,17 @@ independent groups; a group then streams through its task in order, with a state
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.shards import carried, running_sum, shard_of
+from tickloom.operators.shards import SHARD_US, carried, core, running_sum, shard_of, with_halo
+from tickloom.session import cut
 
 
 def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[object, tuple], tuple[object, bool]], inputs: list[str]) -> DataFrame:
@@ -51,50 +54,106 @@ def cooldown(rows: DataFrame, keys: list[str], t: str, order: list[str], wait_us
     A row with no other within wait_us before it is kept whatever came before; the fold starts afresh there. Null keys or times are left out.
     """
     good = rows.dropna(subset=[*keys, t]).withColumn("_reach", F.col(t) + wait_us)
-    cut = _islands(good, keys, t, "_reach", order)
+    parts = _islands(good, keys, t, "_reach", order)
 
     def step(last, values):
         return (values[0], True) if last is None or values[0] >= last + wait_us else (last, False)
 
-    return ordered_fold(cut, [*keys, "_island"], order, step, [t]).drop("_island", "_reach")
+    return ordered_fold(parts, [*keys, "_island"], order, step, [t]).drop("_island", "_reach")
 
 
 def without_overlap(rows: DataFrame, keys: list[str], start: str, end: str, order: list[str]) -> DataFrame:
     """Greedy selection of spans: a span is taken if it starts at or after the end of the last one taken."""
     good = rows.dropna(subset=[*keys, start, end])
-    cut = _islands(good, keys, start, end, order)
+    parts = _islands(good, keys, start, end, order)
 
     def step(until, values):
         return (values[1], True) if until is None or values[0] >= until else (until, False)
 
-    return ordered_fold(cut, [*keys, "_island"], order, step, [start, end]).drop("_island")
+    return ordered_fold(parts, [*keys, "_island"], order, step, [start, end]).drop("_island")
+
+
+def _greedy_pairs(rows: list[tuple[int, int, str]], tolerance_us: int) -> Iterator[tuple[int, str, int, str]]:
+    """Greedy pairs of one island: rows (time, side, ticket) in order of time and ticket, at each time one side only.
+
+    The closest open pair always lies next to each other among the times that still have rows, so a heap of neighbours is enough.
+    """
+    times, sides, queues = [], [], []
+    for t, side, ticket in rows:
+        if not times or times[-1] != t:
+            times.append(t)
+            sides.append(side)
+            queues.append(deque())
+        queues[-1].append(ticket)
+    before, after = list(range(-1, len(times) - 1)), [*range(1, len(times)), -1]
+    heap: list[tuple[int, int, int]] = []
+
+    def meet(i: int, j: int) -> None:
+        if i >= 0 and j >= 0 and sides[i] != sides[j] and times[j] - times[i] <= tolerance_us:
+            left = i if sides[i] == 0 else j
+            heappush(heap, (times[j] - times[i], times[left], left))
+
+    for i in range(len(times) - 1):
+        meet(i, i + 1)
+    while heap:
+        lag, t, i = heappop(heap)
+        # a left time may have right rows at the same distance on both sides; their tickets are taken in order
+        near = [j for j in (before[i], after[i]) if j >= 0 and sides[j] == 1 and abs(times[j] - t) == lag and queues[j]]
+        while queues[i] and near:
+            j = min(near, key=lambda n: queues[n][0])
+            yield t, queues[i].popleft(), times[j], queues[j].popleft()
+            near = [n for n in near if queues[n]]
+        for x in {i, before[i], after[i]} - {-1}:
+            if not queues[x]:
+                p, n = before[x], after[x]
+                if p >= 0:
+                    after[p] = n
+                if n >= 0:
+                    before[n] = p
+                meet(p, n)
 
 
 def match_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], t: str, ticket: str, tolerance_us: int) -> DataFrame:
-    """(keys, left_ticket, left_t, right_ticket, right_t, lag_us): greedy pairing within the tolerance, closest first.
+    """(keys, left_t, left_ticket, right_t, right_ticket, lag_us): greedy pairing within the tolerance, closest first.
 
-    Candidates meet in buckets of the tolerance's width. They are taken in order of |lag|, left time, left and right ticket; each row is used
-    once. Chains of rows that could compete end where no two neighbours lie within the tolerance, and each chain is matched on its own.
+    Pairs are taken in order of |lag|, left time, left and right ticket; each row is used once. Rows of one instant are paired first, by their
+    rank of ticket on each side, which is what the order makes of them; so no instant's rows are multiplied with each other. What is left has
+    one side at each instant. It is cut wherever no pair of left and right within the tolerance would cross, and each island is
+    matched on its own, in time and memory of its rows. Null keys, times or tickets are left out.
     """
-    side = lambda df, s: df.dropna(subset=[*keys, t, ticket]).select(*keys, F.col(t).alias(f"{s}_t"), F.col(ticket).cast("string").alias(f"{s}_ticket"))
-    both = side(left, "left").select(*keys, F.col("left_t").alias("_t"), F.col("left_ticket").alias("_k"), F.lit(0).alias("_side")).unionByName(side(right, "right").select(*keys, F.col("right_t").alias("_t"), F.col("right_ticket").alias("_k"), F.lit(1).alias("_side")))
-    chained = _islands(both.withColumn("_reach", F.col("_t") + tolerance_us + 1), keys, "_t", "_reach", ["_t", "_side", "_k"])
-    l, r = chained.where("_side = 0"), chained.where("_side = 1")
-    bucket = lambda c: F.floor(F.col(c) / (tolerance_us + 1)).cast("long")
-    l = l.select(*keys, "_island", F.col("_t").alias("left_t"), F.col("_k").alias("left_ticket")).withColumn("_b", F.explode(F.array(*[bucket("left_t") + i for i in (-1, 0, 1)])))
-    r = r.select(*keys, "_island", F.col("_t").alias("right_t"), F.col("_k").alias("right_ticket")).withColumn("_b", bucket("right_t"))
-    candidates = l.join(r, [*keys, "_island", "_b"]).drop("_b").withColumn("lag_us", F.col("right_t") - F.col("left_t")).where(F.abs("lag_us") <= tolerance_us).withColumn("_lag", F.abs("lag_us"))
-
-    def step(used, values):
-        used = used if used is not None else (set(), set())
-        free = values[0] not in used[0] and values[1] not in used[1]
-        if free:
-            used[0].add(values[0])
-            used[1].add(values[1])
-        return used, free
-
-    order = ["_lag", "left_t", "left_ticket", "right_ticket"]
-    return ordered_fold(candidates, [*keys, "_island"], order, step, ["left_ticket", "right_ticket"]).drop("_island", "_lag")
+    side = lambda df, s: df.dropna(subset=[*keys, t, ticket]).select(*keys, F.col(t).cast("long").alias("_t"), F.col(ticket).cast("string").alias("_k"), F.lit(s).alias("_side"))
+    both = side(left, 0).unionByName(side(right, 1)).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_t", "_side").orderBy("_k")))
+    met = cut(both.groupBy(*keys, "_t", "_n").agg(F.max(F.when(F.col("_side") == 0, F.col("_k"))).alias("_left"), F.max(F.when(F.col("_side") == 1, F.col("_k"))).alias("_right")))
+    at_once = met.where("_left is not null and _right is not null").select(*keys, F.col("_t").alias("left_t"), F.col("_left").alias("left_ticket"), F.col("_t").alias("right_t"), F.col("_right").alias("right_ticket"), F.lit(0).cast("long").alias("lag_us"))
+    rest = met.where("_left is null or _right is null").select(*keys, "_t", "_n", F.when(F.col("_left").isNull(), 1).otherwise(0).alias("_side"), F.coalesce("_left", "_right").alias("_k"))
+    # reach: just past the last row of the other side that a row could still pair with
+    near = with_halo(rest, "_t", ahead_us=tolerance_us, shard_us=max(SHARD_US, tolerance_us))
+    ahead = Window.partitionBy(*keys, "shard").orderBy("_t").rangeBetween(1, max(tolerance_us, 1))
+    last = lambda s: F.max(F.when(F.col("_side") == s, F.col("_t"))).over(ahead)
+    reach = F.coalesce(F.when(F.col("_side") == 0, last(1)).otherwise(last(0)) + 1, F.col("_t"))
+    chained = _islands(core(near.withColumn("_reach", reach)), keys, "_t", "_reach", ["_t", "_n"])
+    schema = ", ".join(f"{k} {both.schema[k].dataType.simpleString()}" for k in keys) + ", left_t long, left_ticket string, right_t long, right_ticket string, lag_us long"
+    names = [*keys, "left_t", "left_ticket", "right_t", "right_ticket", "lag_us"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, rows = None, []
+
+        def pairs() -> list[tuple]:
+            # a row alone on its island has no partner
+            return [(*group[:-1], t, a, u, b, u - t) for t, a, u, b in _greedy_pairs(rows, tolerance_us)] if len(rows) > 1 else []
+
+        for pdf in batches:
+            out = []
+            for g, row in zip(zip(*[pdf[k].tolist() for k in [*keys, "_island"]]), zip(*[pdf[c].tolist() for c in ("_t", "_side", "_k")])):
+                if g != group:
+                    out += pairs()
+                    group, rows = g, []
+                rows.append(row)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(pairs(), columns=names)
+
+    by = [*keys, "_island"]
+    return at_once.unionByName(chained.repartition(*by).sortWithinPartitions(*by, "_t", "_n").mapInPandas(run, schema))
 
 
 def backtest(ticks: DataFrame, intents: DataFrame, keys: list[str], latency_us: int = 250_000, slippage: float = 0.0) -> DataFrame:

@@ -74,10 +74,10 @@ def lab11_staged(spark, d):
 
 
 def lab13_matched_trades(spark, d):
-    """Trades of two groups of accounts matched one to one, by symbol."""
+    """Trades of two groups of accounts matched one to one by symbol and side, over all accounts; the pairs by symbol."""
     t = held(trades.trades(spark, d), odd=F.col("account") % 2)
-    keyed = lambda o: t.where(F.col("odd") == o).select((F.col("symbol") * 100 + F.pmod(F.floor(F.col("account") / 2), F.lit(50))).alias("symbol"), F.col("opened").alias("t"), F.col("ticket"))
-    got = folds.match_one_to_one(keyed(0), keyed(1), ["symbol"], "t", "ticket", trades.DAY)
+    keyed = lambda o: t.where(F.col("odd") == o).select("symbol", "side", F.col("opened").alias("t"), "ticket")
+    got = folds.match_one_to_one(keyed(0), keyed(1), ["symbol", "side"], "t", "ticket", trades.DAY)
     return got.groupBy("symbol").agg(F.count(F.lit(1)).alias("pairs"), F.percentile(F.abs("lag_us"), F.lit(0.5)).alias("median_lag_us"))
 
 
