@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 from statistics import median
 
 import pytest
@@ -57,3 +57,39 @@ def test_lab13_matches_by_symbol_and_side_over_all_accounts(spark, tmp_path):
         lags[key[0]].append(abs(lag))
     got = {r["symbol"]: (r["pairs"], r["median_lag_us"]) for r in labs.lab13_matched_trades(spark, str(tmp_path)).collect()}
     assert got == {k: (len(v), median(v)) for k, v in lags.items()} and {p[0][0][1] for p in pairs} == {-1, 1}
+
+
+def robust(values, k):
+    center = median(values)
+    return center + k * 1.4826 * median(abs(v - center) for v in values)
+
+
+def test_lab09_judges_all_seconds_and_spaces_shocks(spark, tmp_path):
+    """A quote a second, so that return_5s is against five rows before; shocks everywhere in the minute."""
+    rng = random.Random(9)
+    start, mids = 1_760_000_040, [100.0]
+    for i in range(1, 2400):
+        mids.append(round(mids[-1] * (1 + rng.gauss(0, 1e-5) + (rng.choice([-1, 1]) * 3e-3 if i % 97 == 0 else 0)), 6))
+    rows = [(i, datetime.fromtimestamp(start + i, UTC), m - 0.01, m + 0.01, "s", "X") for i, m in enumerate(mids)]
+    spark.createDataFrame(rows, "id long, occurred_at timestamp, bid double, ask double, source string, instrument string").write.parquet(str(tmp_path / "market_ticks.parquet"))
+    mid = [((b + a) / 2) for _, _, b, a, *_ in rows]
+    back = {i: mid[i] / mid[i - 5] - 1 for i in range(5, len(mid))}
+    limit, last, kept = robust([abs(v) for v in back.values()], 4.0), -(10**9), []
+    for i, v in back.items():
+        if abs(v) > limit and i - last >= 300:
+            last = i
+            kept.append(i)
+    assert len(kept) >= 6 and any((start + i) % 60 >= 20 for i in kept)
+    got = labs.lab09_shocks(spark, str(tmp_path)).collect()
+    assert {(r["policy"], r["horizon_s"]) for r in got} == {(p, h) for p in ("classified", "fade_all", "continue_all", "random_direction") for h in (30, 60, 300)}
+    for h in (30, 60, 300):
+        # entry at the first quote from a second and the latency on, exit h later
+        nets = []
+        for i in kept:
+            if i + 2 + h < len(rows):
+                (eb, ea), (xb, xa) = rows[i + 2][2:4], rows[i + 2 + h][2:4]
+                nets.append((xb / ea - 1 if back[i] > 0 else eb / xa - 1) * 10_000)
+        own = [r for r in got if r["policy"] == "continue_all" and r["horizon_s"] == h]
+        assert sum(r["n"] for r in own) == len(kept) and sum(r["trades"] for r in own) == len(nets)
+        assert sum(r["mean_net_bps"] * r["trades"] for r in own if r["trades"]) == pytest.approx(sum(nets), abs=1e-3 * len(nets))
+        assert all(r["trades"] == 0 for r in got if r["policy"] == "classified" and r["action"] == "abstain")

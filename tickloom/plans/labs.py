@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import classify, folds, metrics, outcomes, paths, windows
+from tickloom.operators import asof, bars, classify, folds, metrics, outcomes, paths, windows
 from tickloom.operators.metrics import quantized
 from tickloom.plans import market, trades
 from tickloom.plans.market import FIVE, S, five, quotes, seconds
-from tickloom.session import held
+from tickloom.session import cut, held
 
 SECOND = 1_000_000
 # sessions here tick every few seconds, so delays and gaps are wider than the defaults
@@ -57,15 +57,53 @@ def lab07_path_management(spark, d):
     return _metrics(paths.manage(_episodes(spark, d), quotes(spark, d), S, grid), ["policy", "reason"], "net_bps")
 
 
+SHOCK_HORIZONS, SHOCK_SPACING_S = (30, 60, 300), 300
+
+
+def _shock_exits(spark: SparkSession, d: str, shocks: DataFrame) -> DataFrame:
+    """(SERIES, bar_us, e, x30, x60, x300): the entry and exit quotes of outcomes() under LOOSE, from the quotes near shocks only; an exit that isn't valid is null."""
+    ahead = 4 * SECOND + LOOSE.latency_us + LOOSE.max_entry_delay_us + max(SHOCK_HORIZONS) * SECOND + LOOSE.max_exit_delay_us
+    spans = shocks.select(*S, F.col("bar_us").alias("shock_us"), (F.col("bar_us") + ahead).alias("until_us"))
+    near = asof.between(quotes(spark, d).select(*S, bars.bucket("us", SECOND).alias("bar_us"), "us", "id", "bid", "ask"), spans, S, "bar_us", "shock_us", "until_us")
+    path = near.groupBy(*S, "shock_us", "bar_us").agg(F.min(F.struct("us", "id", "bid", "ask")).alias("q"))
+    every = Window.partitionBy(*S, "shock_us")
+    w = every.orderBy("bar_us")
+    # nothing behind a gap is reached
+    whole = path.withColumn("gap", F.coalesce(F.col("bar_us") - F.lag("bar_us").over(w) > LOOSE.max_gap_us, F.lit(False))).withColumn("cut_off", F.max("gap").over(w)).where("not cut_off")
+    due = F.col("shock_us") + SECOND + LOOSE.latency_us
+    entered = whole.withColumn("e", F.min(F.when(F.col("q.us") >= due, F.col("q"))).over(every)).where(F.col("e.us") - due <= LOOSE.max_entry_delay_us)
+    wait = F.col("q.us") - F.col("e.us")
+    exits = [F.min(F.when((wait >= h * SECOND) & (wait <= h * SECOND + LOOSE.max_exit_delay_us), F.col("q"))).alias(f"x{h}") for h in SHOCK_HORIZONS]
+    return entered.groupBy(*S, F.col("shock_us").alias("bar_us")).agg(F.min("e").alias("e"), *exits)
+
+
 def lab09_shocks(spark, d):
-    """Second-level shocks beyond each series' robust threshold: continued, faded or abstained by what the tape showed."""
-    f = windows.second_features(seconds(spark, d)).where("return_5s is not null and return_5s <> 0").withColumn("size", F.abs("return_5s"))
-    limits = metrics.robust_threshold(f.where(F.pmod(F.floor(F.col("bar_us") / SECOND), F.lit(60)) < 20), S, "size", 4.0, 30)
-    shocks = f.join(limits.select(*S, "threshold"), S).where("size > threshold")
+    """Second-level shocks beyond each series' robust threshold, at least 300 s apart: continued, faded or abstained by what the tape showed, and what
+    four policies made of them at three horizons.
+
+    The threshold is over all returns of the series, zeros as well. n counts the shocks of an action, trades those that the policy takes and whose
+    outcome is valid. Rows after a gap count like others, as series here tick more slowly than the five seconds that make one.
+    """
+    f = cut(windows.second_features(seconds(spark, d)).where("return_5s is not null").select(*S, "bar_us", "return_1s", "return_5s", "spread_shock_ratio", "tick_intensity_ratio", F.abs("return_5s").alias("size")))
+    limits = metrics.robust_threshold(f, S, "size", 4.0, 30)
+    beyond = f.join(limits.select(*S, "threshold"), S).where("size > threshold")
+    shocks = cut(folds.cooldown(beyond, S, "bar_us", ["bar_us"], SHOCK_SPACING_S * SECOND))
     recent, calm = F.coalesce("return_1s", F.lit(0.0)), F.col("spread_shock_ratio") <= 1.2
     back = (F.col("return_5s") * recent < 0) & (F.abs(recent) >= 0.25 * F.col("size"))
     action = F.when(calm & back, "fade").when(calm & (F.col("return_5s") * recent > 0) & (F.col("tick_intensity_ratio") >= 1), "continue").otherwise("abstain")
-    return shocks.groupBy("instrument", action.alias("action")).agg(F.count(F.lit(1)).alias("n"), quantized(F.avg("size") * 10_000, 4).alias("mean_size_bps"))
+    side = F.signum("return_5s").cast("int")
+    iso = F.date_format(F.timestamp_micros("bar_us"), "yyyy-MM-dd'T'HH:mm:ss")
+    coin = F.when(F.conv(F.substring(F.sha2(F.concat(iso, F.lit("+00:00")), 256), 1, 2), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
+    judged = F.when(action == "fade", -side).when(action == "continue", side).otherwise(0)
+    policies = F.array(*[F.struct(F.lit(n).alias("policy"), c.alias("direction")) for n, c in (("classified", judged), ("fade_all", -side), ("continue_all", side), ("random_direction", coin))])
+    exits = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon_s"), F.col(f"x{h}").alias("x")) for h in SHOCK_HORIZONS]))
+    tried = shocks.select(*S, "bar_us", "size", action.alias("action"), policies.alias("ways")).join(_shock_exits(spark, d, shocks), [*S, "bar_us"], "left")
+    rows = tried.select("instrument", "size", "action", "e", F.explode("ways").alias("way"), *[f"x{h}" for h in SHOCK_HORIZONS]).select("instrument", "size", "action", "e", "way.*", exits.alias("exit")).select("*", "exit.*")
+    long, mid, xmid = F.col("direction") > 0, (F.col("e.bid") + F.col("e.ask")) / 2, (F.col("x.bid") + F.col("x.ask")) / 2
+    values = {"gross": (xmid / mid, mid / xmid), "net": (F.col("x.bid") / F.col("e.ask"), F.col("e.bid") / F.col("x.ask"))}
+    result = lambda kind: (F.when(long, values[kind][0]).when(F.col("direction") < 0, values[kind][1]) - 1) * 10_000
+    out = rows.groupBy("instrument", "action", "policy", "horizon_s").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("size"), F.count(result("net")).alias("trades"), F.avg(result("gross")).alias("gross"), F.avg(result("net")).alias("net"))
+    return out.select("instrument", "action", "policy", "horizon_s", "n", quantized(F.col("size") * 10_000, 4).alias("mean_size_bps"), "trades", quantized("gross", 4).alias("mean_gross_bps"), quantized("net", 4).alias("mean_net_bps"))
 
 
 def lab11_staged(spark, d):
