@@ -93,3 +93,69 @@ def test_lab09_judges_all_seconds_and_spaces_shocks(spark, tmp_path):
         assert sum(r["n"] for r in own) == len(kept) and sum(r["trades"] for r in own) == len(nets)
         assert sum(r["mean_net_bps"] * r["trades"] for r in own if r["trades"]) == pytest.approx(sum(nets), abs=1e-3 * len(nets))
         assert all(r["trades"] == 0 for r in got if r["policy"] == "classified" and r["action"] == "abstain")
+
+
+@pytest.fixture(scope="module")
+def breakouts(spark, tmp_path_factory):
+    """A quote every two seconds for three hours, with jumps that start episodes."""
+    rng, folder = random.Random(3), tmp_path_factory.mktemp("breakouts")
+    at, mid, rows = 1_760_000_400, 100.0, []
+    for i in range(5400):
+        mid = round(mid * (1 + rng.gauss(0, 6e-5) + (rng.choice([-1, 1]) * 1e-3 if i % 400 == 399 else 0)), 6)
+        rows.append((i, datetime.fromtimestamp(at + 2 * i, UTC), mid - 0.002, mid + 0.002, "s", "X"))
+    spark.createDataFrame(rows, "id long, occurred_at timestamp, bid double, ask double, source string, instrument string").write.parquet(str(folder / "market_ticks.parquet"))
+    starts = [(r["start_us"], r["side"]) for r in labs._episodes(spark, str(folder)).collect()]
+    assert len(starts) >= 5
+    return str(folder), [((at + 2 * i) * S, b, a) for i, (_, _, b, a, *_) in enumerate(rows)], starts
+
+
+def test_lab07_runs_the_whole_family(spark, breakouts):
+    folder, quotes, starts = breakouts
+    family = [(w, p, h, s, t) for w in (0, 5, 15, 30) for p in (0.0, 0.5, 1.0) for h in (60, 180, 300, 900) for s in (4.0, 8.0, 12.0) for t in (4.0, 8.0, 12.0) if (p == 0) == (w == 0)]
+    assert len(family) == 252
+    want = defaultdict(list)
+    for at, side in starts:
+        path = [q for q in quotes if at <= q[0] <= at + 960 * S]
+        for w, p, h, s, t in family if path else []:
+            mid, first = (path[0][1] + path[0][2]) / 2, path[0][0]
+            price = lambda q: q[2] if side > 0 else q[1]
+            entry = next((i for i, q in enumerate(path) if first + 50_000 <= q[0] <= first + (w or 2) * S and (p == 0 or side * (mid - price(q)) / mid * 10_000 >= p)), None)
+            for q in path[entry:] if entry is not None else []:
+                cost = price(path[entry])
+                gross = side * ((q[1] if side > 0 else q[2]) - cost) / cost * 10_000
+                reason = "stop" if gross <= -s else "target" if gross >= t else "time" if q[0] >= path[entry][0] + h * S else None
+                if reason:
+                    want[f"w{w}_p{p:g}_h{h}_s{s:g}_t{t:g}", reason].append(gross)
+                    break
+    got = {(r["policy"], r["reason"]): (r["n"], r["mean"]) for r in labs.lab07_path_management(spark, folder).collect()}
+    assert got == {k: (len(v), pytest.approx(sum(v) / len(v), abs=1e-3)) for k, v in want.items()} and len({k for k, _ in got}) > 200
+
+
+def test_lab11_runs_all_variants(spark, breakouts):
+    folder, quotes, starts = breakouts
+    want = defaultdict(list)
+    for at, side in starts:
+        path = [q for q in quotes if at <= q[0] <= at + 932 * S]
+        for staged in (False, True) if path else ():
+            for runner in (False, True):
+                entries, peak, banked, weight, end = [path[0][2] if side > 0 else path[0][1]], float("-inf"), 0.0, 1.0, path[0][0] + (900 if runner else 300) * S
+                for us, bid, ask in path:
+                    out, reason = bid if side > 0 else ask, None
+                    move = side * (out - entries[0]) / entries[0] * 10_000
+                    if staged and len(entries) < 3 and move <= -(4.0, 8.0)[len(entries) - 1]:
+                        entries.append(ask if side > 0 else bid)
+                    value = sum(side * (out - x) / x * 10_000 for x in entries) / len(entries)
+                    if value <= -12:
+                        reason = "basket_stop"
+                    elif us - path[0][0] >= 15 * S and move <= -6:
+                        reason = "quick_failure"
+                    else:
+                        peak = max(peak, value)
+                        if runner and weight == 1.0 and value >= 8:
+                            banked, weight = value / 2, 0.5
+                        reason = "trailing" if runner and weight < 1 and peak - value >= 6 else "time" if us >= end else None
+                    if reason:
+                        want[f"{'staged' if staged else 'single'}_{'runner' if runner else 'fixed'}", reason, weight < 1].append(banked + weight * value)
+                        break
+    got = {(r["variant"], r["reason"], r["partial"]): (r["n"], r["mean"]) for r in labs.lab11_staged(spark, folder).collect()}
+    assert got == {k: (len(v), pytest.approx(sum(v) / len(v), abs=1e-3)) for k, v in want.items()} and len({k for k, *_ in got}) == 4

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,25 +39,61 @@ def manage(episodes: DataFrame, quotes: DataFrame, keys: list[str], policies: Da
     """Per episode and policy: entry at once or on a pullback while waiting, then stop, target or time, whichever quote comes first.
 
     Returns are relative to the entry price; costs are two slippages. A policy without entry, or whose exit has no quote in the path, gives
-    no row. Entries and exits are first hits, so everything is two aggregations over the paths and no path is collected.
+    no row. A path is held only while it is judged; entries differ by wait and pullback alone, and each one's first stops, targets and
+    times serve all its policies. Null sides give no row.
     """
     last = policies.agg(F.max(F.greatest("wait_s", F.lit(max_delay_s)) + F.col("hold_s"))).first()[0] or 0
-    paths = quote_paths(episodes, quotes, keys, (last + 30) * SECOND)
-    first = paths.groupBy("episode").agg(F.min(F.struct("us", "id", "bid", "ask")).alias("f")).select("episode", F.col("f.us").alias("first_us"), ((F.col("f.bid") + F.col("f.ask")) / 2).alias("signal_mid"))
-    # the grid is a fixed table of policies: every row of a path meets each of them by design
-    grid = policies.select(F.struct("*").alias("p")).groupBy().agg(F.collect_list("p").alias("grid")).withColumn("_one", F.lit(1))
-    tried = paths.withColumn("_one", F.lit(1)).join(F.broadcast(grid), "_one").select("episode", "side", "us", "id", "bid", "ask", F.explode("grid").alias("p")).join(first, "episode")
-    price = side_price("side", "bid", "ask", True)
-    gain = F.col("side") * (F.col("signal_mid") - price) / F.col("signal_mid") * 10_000
-    deadline = F.col("first_us") + F.when(F.col("p.wait_s") > 0, F.col("p.wait_s")).otherwise(max_delay_s).cast("long") * SECOND
-    entering = (F.col("us") >= F.col("first_us") + latency_us) & (F.col("us") <= deadline) & ((F.col("p.pull_bps") == 0) | (gain >= F.col("p.pull_bps")))
-    entries = tried.where(entering).groupBy("episode", F.col("p.policy").alias("policy")).agg(F.min(F.struct("us", "id", price.alias("price"))).alias("e"))
-    held = tried.withColumn("policy", F.col("p.policy")).join(entries, ["episode", "policy"]).where(F.struct("us", "id") >= F.struct(F.col("e.us"), F.col("e.id")))
-    out = side_price("side", "bid", "ask", False)
-    gross = F.col("side") * (out - F.col("e.price")) / F.col("e.price") * 10_000
-    reason = F.when(gross <= -F.col("p.stop_bps"), "stop").when(gross >= F.col("p.target_bps"), "target").when(F.col("us") >= F.col("e.us") + F.col("p.hold_s").cast("long") * SECOND, "time")
-    hits = held.withColumn("reason", reason).where("reason is not null").groupBy("episode", "policy").agg(F.min(F.struct("us", "id", "reason", gross.alias("gross"), F.col("e.us").alias("entered"))).alias("x"))
-    return hits.select("episode", "policy", F.col("x.entered").alias("entered_us"), F.col("x.us").alias("exited_us"), "x.reason", F.col("x.gross").alias("gross_bps"), (F.col("x.gross") - 2 * slippage_bps).alias("net_bps"))
+    paths = quote_paths(episodes.dropna(subset=["episode", "side"]), quotes, keys, (last + 30) * SECOND).select("episode", "side", "us", "id", "bid", "ask")
+    # the grid is a fixed table of policies, known to every task
+    grid = policies.select("policy", "wait_s", "pull_bps", "hold_s", "stop_bps", "target_bps").toPandas()
+    entries = [(wait, pull, own["policy"].tolist(), *[np.unique(own[c].to_numpy(), return_inverse=True) for c in ("stop_bps", "target_bps", "hold_s")]) for (wait, pull), own in grid.groupby(["wait_s", "pull_bps"])]
+    schema = "episode long, policy string, entered_us long, exited_us long, reason string, gross_bps double, net_bps double"
+
+    def judged(episode: int, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        side, us, bid, ask = rows["side"].iloc[0], *[rows[c].to_numpy() for c in ("us", "bid", "ask")]
+        price, out = (ask, bid) if side > 0 else (bid, ask)
+        mid = (bid[0] + ask[0]) / 2
+        gain = side * (mid - price) / mid * 10_000
+        start = np.searchsorted(us, us[0] + latency_us, "left")
+        for wait, pull, names, (stops, s), (targets, t), (holds, h) in entries:
+            end = np.searchsorted(us, us[0] + (wait if wait > 0 else max_delay_s) * SECOND, "right")
+            fits = np.arange(start, end) if pull == 0 else start + np.flatnonzero(gain[start:end] >= pull)
+            if not len(fits):
+                continue
+            e = fits[0]
+            gross = side * (out[e:] - price[e]) / price[e] * 10_000
+            n = len(gross)
+            first = lambda hit: hit.argmax() if hit.any() else n
+            stop = np.array([first(gross <= -x) for x in stops])[s]
+            target = np.array([first(gross >= x) for x in targets])[t]
+            time = np.searchsorted(us[e:], us[e] + holds.astype("int64") * SECOND, "left")[h]
+            at = np.minimum(np.minimum(stop, target), time)
+            done = at < n
+            if not done.any():
+                continue
+            at = at[done]
+            reason = np.where(stop[done] == at, "stop", np.where(target[done] == at, "target", "time"))
+            yield pd.DataFrame({"episode": episode, "policy": [x for x, d in zip(names, done) if d], "entered_us": us[e], "exited_us": us[e:][at], "reason": reason, "gross_bps": gross[at], "net_bps": gross[at] - 2 * slippage_bps})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for pdf in batches:
+            out: list[pd.DataFrame] = []
+            ids = pdf["episode"].to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(pdf)]
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                if a == z:
+                    continue
+                if rest and rest[0]["episode"].iloc[0] != ids[a]:
+                    out += judged(rest[0]["episode"].iloc[0], pd.concat(rest))
+                    rest = []
+                rest.append(pdf.iloc[a:z])
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if rest:
+            yield from judged(rest[0]["episode"].iloc[0], pd.concat(rest))
+
+    return paths.repartition("episode").sortWithinPartitions("episode", "us", "id").mapInPandas(run, schema)
 
 
 @dataclass(frozen=True)
@@ -108,28 +145,34 @@ class _Basket:
 def staged_positions(episodes: DataFrame, quotes: DataFrame, keys: list[str], config: Staging = Staging()) -> DataFrame:
     """(episode, gross_bps, net_bps, tickets, partial, reason): staged entries on adverse moves, a basket stop, an early exit for quick failures,
     half taken at a target and the rest trailed. Paths stream through their task in time order; episodes without entry or exit give no row."""
-    c = config
-    paths = quote_paths(episodes, quotes, keys, (c.delay_s + c.max_delay_s + c.hold_s + 30) * SECOND).select("episode", "side", "us", "id", "bid", "ask")
-    schema = "episode long, gross_bps double, net_bps double, tickets int, partial boolean, reason string"
+    return staged_variants(episodes, quotes, keys, {"": config}).drop("variant")
+
+
+def staged_variants(episodes: DataFrame, quotes: DataFrame, keys: list[str], variants: dict[str, Staging]) -> DataFrame:
+    """staged_positions of each variant, with its name as variant, in one pass over the paths. All variants see the longest variant's path."""
+    reach = max(c.delay_s + c.max_delay_s + c.hold_s + 30 for c in variants.values())
+    paths = quote_paths(episodes, quotes, keys, reach * SECOND).select("episode", "side", "us", "id", "bid", "ask")
+    schema = "variant string, episode long, gross_bps double, net_bps double, tickets int, partial boolean, reason string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        episode, start, basket = None, 0, None
+        episode, start, baskets = None, 0, {}
         for pdf in batches:
             out = []
             for e, side, us, bid, ask in zip(*[pdf[k].tolist() for k in ("episode", "side", "us", "bid", "ask")]):
                 if e != episode:
-                    episode, start, basket = e, us + c.delay_s * SECOND, None
-                if basket is None:
-                    if not start <= us <= start + c.max_delay_s * SECOND:
-                        continue
-                    basket = _Basket(side, us, ask if side > 0 else bid, c)
-                if basket.done:
-                    continue
-                basket.step(us, bid, ask)
-                if basket.done:
-                    gross, n = basket.banked + basket.weight * basket.value, len(basket.prices)
-                    out.append((e, gross, gross - 2 * n * c.slippage_bps, n, basket.weight < 1.0, basket.done))
-            yield pd.DataFrame(out, columns=["episode", "gross_bps", "net_bps", "tickets", "partial", "reason"])
+                    episode, start, baskets = e, us, dict.fromkeys(variants)
+                for name, basket in list(baskets.items()):
+                    c = variants[name]
+                    if basket is None:
+                        if not start + c.delay_s * SECOND <= us <= start + (c.delay_s + c.max_delay_s) * SECOND:
+                            continue
+                        basket = baskets[name] = _Basket(side, us, ask if side > 0 else bid, c)
+                    basket.step(us, bid, ask)
+                    if basket.done:
+                        gross, n = basket.banked + basket.weight * basket.value, len(basket.prices)
+                        out.append((name, e, gross, gross - 2 * n * c.slippage_bps, n, basket.weight < 1.0, basket.done))
+                        del baskets[name]
+            yield pd.DataFrame(out, columns=["variant", "episode", "gross_bps", "net_bps", "tickets", "partial", "reason"])
 
     return paths.repartition("episode").sortWithinPartitions("episode", "us", "id").mapInPandas(run, schema)
 

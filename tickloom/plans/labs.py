@@ -51,10 +51,15 @@ def lab02_slices(spark, d):
     return metrics.slices(rows, ["session", "spread", "activity"], "net")
 
 
+# The fixed family of 252 policies: waits, pullbacks, holding seconds, stops and targets.
+FAMILY = ([0, 5, 15, 30], [0.0, 0.5, 1.0], [60, 180, 300, 900], [4.0, 8.0, 12.0], [4.0, 8.0, 12.0])
+# The staged factorial: entries in stages or one, a runner for 900 s or a fixed hold of 300 s.
+VARIANTS = {f"{'staged' if staged else 'single'}_{'runner' if runner else 'fixed'}": paths.Staging(hold_s=900 if runner else 300, staged=staged, runner=runner) for staged in (False, True) for runner in (False, True)}
+
+
 def lab07_path_management(spark, d):
-    """Every policy of a fixed grid on every episode."""
-    grid = paths.policy_grid(spark, [0, 10], [0.0, 0.5], [30], [2.0, 4.0], [2.0, 4.0])
-    return _metrics(paths.manage(_episodes(spark, d), quotes(spark, d), S, grid), ["policy", "reason"], "net_bps")
+    """Every policy of the fixed family of 252 on every episode."""
+    return _metrics(paths.manage(_episodes(spark, d), quotes(spark, d), S, paths.policy_grid(spark, *FAMILY)), ["policy", "reason"], "net_bps")
 
 
 SHOCK_HORIZONS, SHOCK_SPACING_S = (30, 60, 300), 300
@@ -107,8 +112,8 @@ def lab09_shocks(spark, d):
 
 
 def lab11_staged(spark, d):
-    """Staged positions on every episode, by how they ended."""
-    return _metrics(paths.staged_positions(_episodes(spark, d), quotes(spark, d), S), ["reason", "partial"], "net_bps")
+    """All four variants of staged positions on every episode, by how they ended."""
+    return _metrics(paths.staged_variants(_episodes(spark, d), quotes(spark, d), S, VARIANTS), ["variant", "reason", "partial"], "net_bps")
 
 
 def lab13_matched_trades(spark, d):
