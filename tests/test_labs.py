@@ -9,8 +9,8 @@ from statistics import median
 
 import pytest
 
-from tickloom.operators import folds
-from tickloom.plans import labs
+from tickloom.operators import classify, folds
+from tickloom.plans import labs, market
 
 S = 1_000_000
 DAY = 86_400 * S
@@ -159,3 +159,28 @@ def test_lab11_runs_all_variants(spark, breakouts):
                         break
     got = {(r["variant"], r["reason"], r["partial"]): (r["n"], r["mean"]) for r in labs.lab11_staged(spark, folder).collect()}
     assert got == {k: (len(v), pytest.approx(sum(v) / len(v), abs=1e-3)) for k, v in want.items()} and len({k for k, *_ in got}) == 4
+
+
+def test_prj26_arrival_issues_follow_the_order_of_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(classify, "ARRIVAL_SHARD", 50)
+    rng, start, rows = random.Random(26), 1_760_000_000, []
+    for i in rng.sample(range(2000), 700):
+        at = start + i * 20 + rng.choice([0, 0, 0, -90, 500])
+        rows.append((i, datetime.fromtimestamp(at, UTC), 100.0, 100.0 + rng.choice([0.01, 0.5]), "s", rng.choice("XY"), rng.choice([None, str(i), str(i)])))
+    last = max(rows)
+    rows += [(2000 + n, last[1], 100.0, 100.01, "s", last[5], "7") for n in range(3)]
+    spark.createDataFrame(rows, "id long, occurred_at timestamp, bid double, ask double, source string, instrument string, source_sequence string").write.parquet(str(tmp_path / "market_ticks.parquet"))
+    want, seen, before = set(), set(), {}
+    for i, at, bid, ask, _, k, n in sorted(rows, key=lambda r: r[0]):
+        if n is not None and (k, at, n) in seen:
+            want.add((i, "duplicate"))
+        seen.add((k, at, n))
+        if (ask - bid) / ((ask + bid) / 2) * 10_000 > 20:
+            want.add((i, "wide_spread"))
+        if k in before and at < before[k]:
+            want.add((i, "out_of_order"))
+        elif k in before and (at - before[k]).total_seconds() > 300:
+            want.add((i, "time_gap"))
+        before[k] = at
+    got = [(r["id"], r["issue"]) for r in market.prj26_arrival_issues(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and {x for _, x in want} == {"duplicate", "wide_spread", "out_of_order", "time_gap"}

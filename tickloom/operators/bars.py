@@ -12,11 +12,11 @@ SECOND_US = 1_000_000
 FIVE_MINUTES_US = 300_000_000
 
 
-def quotes(ticks: DataFrame) -> DataFrame:
-    """The valid quotes of market ticks: both prices and the event time known, bid above zero, ask not below bid."""
+def quotes(ticks: DataFrame, *extra: str) -> DataFrame:
+    """The valid quotes of market ticks: both prices and the event time known, bid above zero, ask not below bid. extra: further columns to keep."""
     mid = (F.col("bid") + F.col("ask")) / 2
     rows = ticks.where("occurred_at is not null and bid > 0 and ask >= bid and source is not null and instrument is not null")
-    return rows.select("id", *SERIES, us("occurred_at").alias("us"), "bid", "ask", mid.alias("mid"), ((F.col("ask") - F.col("bid")) / mid * 10_000).alias("spread_bps"))
+    return rows.select("id", *SERIES, us("occurred_at").alias("us"), "bid", "ask", mid.alias("mid"), ((F.col("ask") - F.col("bid")) / mid * 10_000).alias("spread_bps"), *extra)
 
 
 def bucket(t: str | Column, width_us: int) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR_US = 3_600_000_000
+# Ids per shard where rows are taken in order of arrival.
+ARRIVAL_SHARD = 1_000_000
 
 # First hour (UTC) of each part of the trading day, and its label.
 SESSIONS = ((0, "asia"), (7, "london"), (12, "london_new_york_overlap"), (16, "new_york"), (21, "maintenance_or_late"))
@@ -56,3 +58,17 @@ def quality_issues(ticks: DataFrame, keys: list[str], t: str, spread: str, numbe
     issue = lambda test, name: F.when(test, name)
     issues = F.array_compact(F.array(issue((F.col("_k") > 1) & F.col(number).isNotNull(), "duplicate"), issue(F.col(spread) > wide, "wide_spread"), issue(F.col(t) - F.col("_prev") > gap_us, "time_gap")))
     return rows.select("id", F.explode(issues).alias("issue"))
+
+
+def arrival_issues(ticks: DataFrame, keys: list[str], t: str, spread: str, number: str, wide: float, gap_us: int) -> DataFrame:
+    """One row per quality issue of a tick in order of arrival (id): duplicate (same time and number arrived before), wide_spread, and against the
+    tick that arrived before it in its series out_of_order (an earlier time) or time_gap (a later one by more than gap_us).
+
+    The tick before comes from shards of ids, carried over their ends, so no series is one task.
+    """
+    from tickloom.operators.shards import carried, shard_of
+
+    rows = ticks.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, t, number).orderBy("id")))
+    rows = carried(rows, keys, ["id"], F.col(t), "_prev", shard_of("id", ARRIVAL_SHARD), strict=True)
+    issues = F.array_compact(F.array(F.when((F.col("_k") > 1) & F.col(number).isNotNull(), "duplicate"), F.when(F.col(spread) > wide, "wide_spread"), F.when(F.col(t) < F.col("_prev"), "out_of_order"), F.when(F.col(t) - F.col("_prev") > gap_us, "time_gap")))
+    return rows.select("id", F.explode(issues).alias("issue"))

@@ -234,6 +234,12 @@ def prj26_quality_issues(spark, d):
     return classify.quality_issues(rows, S, "us", "spread_bps", "source_sequence", 20.0, 300_000_000)
 
 
+def prj26_arrival_issues(spark, d):
+    """All four rules of tick quality in order of arrival."""
+    rows = bars.quotes(load(spark, d, "market_ticks"), "source_sequence")
+    return classify.arrival_issues(rows, S, "us", "spread_bps", "source_sequence", 20.0, 300_000_000)
+
+
 def breakout_report(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: breakout episodes by instrument and side, with the outcome half a minute later."""
     starts = win08_episode_starts(spark, d)
@@ -245,6 +251,6 @@ def breakout_report(spark: SparkSession, d: str) -> DataFrame:
 NAMES = (
     agg01_second_bars, agg02_five_minute_bars, agg04_completed_bars, win01_second_features, win03_prior_levels, win04_reset_average, win05_session_range, win06_bar_trend, win07_segments, win08_episode_starts,
     win10_ema, win11_atr, win13_fair_value_gaps, win14_contiguous, win17_shocks, win18_failed_moves, win19_sweeps, win21_gaps, win22_drawdown, win23_spacing, win24_first_edges, sim09_cooldown, sim01_outcomes, sim02_bar_outcomes, sim08_backtest,
-    join16_earliest, join04_asof_backward, join05_asof_forward, join18_reactions, join13_path_extrema, join19_near_news, join20_overlaps, join22_missing_bars, agg34_feed_report, agg36_news_quality, prj02_sessions, prj19_relevance, prj26_quality_issues, breakout_report,
+    join16_earliest, join04_asof_backward, join05_asof_forward, join18_reactions, join13_path_extrema, join19_near_news, join20_overlaps, join22_missing_bars, agg34_feed_report, agg36_news_quality, prj02_sessions, prj19_relevance, prj26_quality_issues, prj26_arrival_issues, breakout_report,
 )
 QUERIES = {f.__name__: f for f in NAMES}
