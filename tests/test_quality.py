@@ -156,6 +156,38 @@ def test_copies_of_a_row_are_judged_together(spark):
         assert {r["id"] for r in spikes.flag_quotes(df, **kw).collect()} == want
 
 
+def test_moves_that_grow_and_buckets_larger_than_a_shard(spark):
+    rng = np.random.default_rng(3)
+    n = 12_000
+    steps = rng.normal(0, 0.01, n)
+    steps[n // 2 :] *= 20
+    bids = np.round(100 + np.cumsum(steps), 4)
+    bids[2500] += 0.4
+    bids[9500] += 8.0
+    bids[4000:4030] = bids[4000]
+    want = {2500, 9500, *range(4000, 4030)}
+    # the last two put all rows in one bucket, ten and forty times a shard
+    for kw in ({}, {"shard_rows": 3000}, {"shard_rows": 1200, "bucket_us": 10**13}, {"shard_rows": 300, "bucket_us": 10**13}):
+        assert set(flagged(spark, bids.tolist(), (bids + 0.05).tolist(), **kw)) == want, kw
+
+
+def test_a_hot_bucket_is_cut_by_rank(spark):
+    rows = [("s", "X", 5, i % 7, float(i), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "source string, instrument string, bucket long, t long, n double, id long")
+    ranked = spikes._ranked(df, ["source", "instrument", "bucket"], ["t", "n", "id"], 9).collect()
+    assert [r["id"] for r in sorted(ranked, key=lambda r: r["rank"])] == [r[5] for r in sorted(rows, key=lambda r: (r[3], r[4], r[5]))]
+    assert sorted(r["rank"] for r in ranked) == list(range(500))
+
+
+def test_vanished_against_run_lengths():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        x = np.repeat(rng.integers(0, 3, 40), rng.integers(1, 30, 40)).astype(float)
+        edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        lengths = np.diff(np.append(edges, len(x)))
+        assert (spikes.vanished(x) == np.repeat(lengths >= 20, lengths)).all()
+
+
 def test_spikes_without_rows_and_with_nulls(spark):
     schema = "id long, source string, instrument string, t long, bid double, ask double, b long, n long, core string"
     assert spikes.flag_quotes(spark.createDataFrame([], schema)).count() == 0
@@ -166,7 +198,21 @@ def test_spikes_without_rows_and_with_nulls(spark):
 def test_readings(spark):
     rows = [(i, "a", v) for i, v in enumerate([10.0, 11.0, 12.0, 10.0, 51.0, 53.0, 1.9, 2.3, 0.0, -4.0, None])]
     df = spark.createDataFrame([*rows, (20, None, 5.0), (21, None, -5.0)], "id long, k string, v double")
-    assert {r["id"] for r in spikes.flag_readings(df, ["k"], "v").collect()} == {5, 6, 8, 9, 21}  # the usual value is 10.5
+    assert {r["id"] for r in spikes.flag_readings(df, ["k"], "v", "id").collect()} == {5, 6, 8, 9, 21}  # the usual value is 10.5
+
+
+def test_readings_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        drift = 3.0 if 800 < i < 1600 else 1.0  # a level that stays off for long is not unusual enough
+        rows.append((i, rng.choice(["a", "b", None]), round(drift * rng.uniform(8, 14) * rng.choice([1] * 30 + [9, 0.1, 5.5, 0.19, 0, -1]), 3)))
+    df = spark.createDataFrame(rows, "id long, k string, v double")
+    middle = {k: float(np.median([v for _, g, v in rows if g == k and v > 0])) for k in ("a", "b", None)}
+    want = {i for i, k, v in rows if v <= 0 or v > 5 * middle[k] or v < middle[k] / 5}
+    for shard in (100_000, 250):
+        assert {r["id"] for r in spikes.flag_readings(df, ["k"], "v", "id", shard_rows=shard).collect()} == want
+    assert spikes.flag_readings(df.where("false"), ["k"], "v", "id").count() == 0
 
 
 # --- nearest time

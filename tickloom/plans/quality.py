@@ -9,12 +9,10 @@ from tickloom.operators import grid, late, nearest, rowparse, spikes, timestamps
 from tickloom.operators.metrics import quantized
 from tickloom.session import cut, fits_broadcast, held, load, us
 
-SMALL = 100_000
 
-
-def _small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else as it is."""
-    return F.broadcast(df) if fits_broadcast(df, rows) else df
+def _small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is small enough, else as it is."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 # --- p1 -------------------------------------------------------------------------------------------------------------
@@ -112,7 +110,7 @@ def p2_flags(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     quotes = spikes.flag_quotes(_quotes(spark, d)).select(F.lit("market_ticks").alias("table_name"), F.col("id").alias("row_key"))
     readings = load(spark, d, "recorder_rows").select("record_id", "server", "symbol", "spread_points")
-    spreads = spikes.flag_readings(readings, ["server", "symbol"], "spread_points").select(F.lit("recorder_rows").alias("table_name"), F.col("record_id").alias("row_key"))
+    spreads = spikes.flag_readings(readings, ["server", "symbol"], "spread_points", "record_id").select(F.lit("recorder_rows").alias("table_name"), F.col("record_id").alias("row_key"))
     return quotes.unionByName(spreads)
 
 
