@@ -317,6 +317,25 @@ def test_bucket_store_is_idempotent(spark, tmp_path):
     assert {r["id"] for r in store.compact(str(tmp_path / "next")).read().collect()} == want
 
 
+def test_a_hot_identifier_is_one_row_per_file(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, "hot" if rng.random() < 0.5 else f"k{rng.randrange(40)}", rng.choice([None, rng.randrange(50)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, key string, received long").repartition(6)
+    store = upsert.BucketStore(spark, str(tmp_path / "store"), ["key"], "received", "id", buckets=4)
+    store.upsert(df.where("id < 2000"), "a")
+    store.upsert(df.where("id >= 2000"), "b")
+    store.upsert(df.where("id >= 2000"), "b")
+    assert store._runs().where("key = 'hot' and not _lost").count() <= 12
+    first = {}
+    for i, k, r in rows:
+        first[k] = min(first.get(k, (True, 0, 0)), (r is None, r or 0, i)) if k in first else (r is None, r or 0, i)
+    stay = {v[2] for v in first.values()}
+    assert {r["id"] for r in store.read().collect()} == stay
+    assert sorted(r["id"] for r in store.dropped().collect()) == sorted({i for i, _, _ in rows} - stay)
+    small = store.compact(str(tmp_path / "small"))
+    assert {r["id"] for r in small.read().collect()} == stay and small.dropped().count() == 0
+
+
 # --- rows that fail to parse
 
 
