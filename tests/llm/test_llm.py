@@ -9,7 +9,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import leakage, mixing, queries, truncation
+from tickloom.llm import leakage, mixing, nearest, queries, truncation
 from tickloom.session import data_dir
 
 VOCABULARY = [w + s for w in ("amber", "cobalt", "ledger", "fold", "quote", "bell", "vault", "spread", "clerk", "fix") for s in ("", "s", "ed", "ing")]
@@ -19,6 +19,39 @@ def prose(rng, n):
     return " ".join(rng.choice(VOCABULARY) for _ in range(n))
 
 
+# --- nearest time
+
+
+def test_nearest_against_brute_force(spark):
+    rng = random.Random(3)
+    left = [("l", str(i), rng.choice("ab"), rng.randrange(0, 4_000), 40) for i in range(300)] + [("l", "n1", None, 5, 40), ("l", "n2", "a", None, 40)]
+    right = [(rng.choice("ab"), rng.randrange(0, 4_000) // 3 * 3, i) for i in range(200)] + [(None, 4, 900), ("a", None, 901)]
+    ls = spark.createDataFrame(left, "left_table string, left_key string, entity string, t long, tol long").withColumn("block", F.lit(1))
+    rs = spark.createDataFrame(right, "entity string, t long, rid long")
+    want = set()
+    for _, key, e, t, tol in left:
+        near = [(abs(t - rt), rid) for re, rt, rid in right if e and t is not None and re == e and rt is not None and abs(t - rt) <= tol]
+        if near:
+            want.add((key, min(near)[1]))
+    for kw in ({}, {"broadcast_keys": 0}):
+        got = nearest.nearest_by_time(ls, rs, block_us=500, **kw)
+        assert {(r["left_key"], r["rid"]) for r in got.collect()} == want
+
+
+def test_nearest_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        test_nearest_against_brute_force(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_nearest_of_nothing(spark):
+    ls = spark.createDataFrame([], "left_table string, left_key string, entity string, t long, tol long")
+    rs = spark.createDataFrame([], "entity string, t long, rid long")
+    assert nearest.nearest_by_time(ls, rs).count() == 0
+
+
 # --- leaks
 
 
@@ -90,6 +123,39 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(df.where("false"), it).count() == 0 and leakage.leaks(df, it.where("false")).count() == 0
 
 
+def readings(text):
+    """All readings of a text whose line-end hyphens each may be dropped or part words."""
+    parts = re.split(r"(?<=\w)-\n(?=\w)", text)
+    out = [parts[0]]
+    for p in parts[1:]:
+        out = [a + g + p for a in out for g in ("", " ")]
+    return [slow_words(t) for t in out]
+
+
+def test_each_hyphen_is_read_both_ways(spark):
+    rng = random.Random(12)
+    words = [f"w{chr(97 + i)}" for i in range(8)] + ["well", "known", "cobalt", "cob", "alt", "wellknown"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(18))) for i in range(8)] + [(50, "one two cobalt three well known four five six seven eight nine ten")]
+    docs = []
+    for d in range(120):
+        w = rng.choice(items)[1].split()
+        k = rng.randrange(len(w) - 8)
+        text = " ".join(w[k:])
+        text = re.sub("cobalt", lambda m: rng.choice(["cob-\nalt", "cobalt"]), text)
+        text = re.sub("well known", lambda m: rng.choice(["well-\nknown", "well known"]), text)
+        docs.append((d, " ".join(rng.choice(words) for _ in range(4)) + " " + text))
+    docs.append((999, "one two cob-\nalt three well-\nknown four five six seven eight nine ten"))
+    runs = {}
+    for i, t in items:
+        w = t.split()
+        for k in range(len(w) - 12):
+            runs.setdefault(tuple(w[k : k + 13]), set()).add(i)
+    want = {(d, i) for d, t in docs for w in readings(t) for k in range(len(w) - 12) for i in runs.get(tuple(w[k : k + 13]), ())}
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for kw in ({}, {"block_items": 2, "chunk_chars": 500}):
+        assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(df, it, **kw).collect()} == want and (999, 50) in want
+
+
 def test_offsets_point_into_the_original(spark):
     words = [f"w{i}" for i in range(20)]
     text = "Intro:\n" + " ".join(words[:5]) + " w­5, W-\n6 " + " ".join(words[7:]) + " and more"
@@ -190,6 +256,54 @@ def test_a_limit_stands_out_and_reposts_do_not(spark):
     assert [r["length"] for r in found] == [120]
 
 
+def test_hazards_against_a_loop(spark):
+    rng = random.Random(21)
+    lengths = [rng.randrange(20, 90) for _ in range(300)] + [60] * 45 + [rng.randrange(200, 400) for _ in range(20)] + [90] * 40
+    rows = [(i, "s", f"{i:04d}".ljust(n, "x")) for i, n in enumerate(lengths)]
+    got = {r["length"]: r for r in truncation.length_hazards(truncation._endings(spark.createDataFrame(rows, "doc_id long, source string, text string"))).where("measure = 'chars'").collect()}
+    for length, r in got.items():
+        at_risk = lambda k: sum(1 for n in lengths if n >= k)
+        band = [k for k in range(max(length - 10, 0), length + 11) if k != length]
+        ends, exposure = sum(lengths.count(k) for k in band), sum(map(at_risk, band))
+        assert (r["n"], r["at_risk"]) == (lengths.count(length), at_risk(length))
+        if exposure:
+            assert r["expected"] == pytest.approx(at_risk(length) * min((ends + 0.5) / exposure, 1 - 1e-9))
+    assert {k for k, r in got.items() if r["significant"]} == {60, 90}
+
+
+def test_marks_are_learned_from_lengths(spark):
+    rng = random.Random(30)
+    rows = []
+    for i in range(400):
+        text = " ".join(prose(rng, rng.randrange(6, 12)).capitalize() + "." for _ in range(rng.randrange(3, 9)))
+        if i % 8 == 0 and len(text) > 150:
+            text = text[:150].rstrip() + f" {{{len(text) - 150} signs gone}}"
+        elif i % 11 == 0:
+            text += " [checked by desk]"
+        rows.append((i, "wire", text))
+    at = truncation._at_peaks(truncation._endings(df := spark.createDataFrame(rows, "doc_id long, source string, text string")), truncation.length_hazards(truncation._endings(df)))
+    assert [r[0] for r in truncation.cut_marks(at).collect()] == ["{9 signs gone}"]
+
+
+def test_long_words_and_last_lines(spark):
+    word = "QUJD" * 25_000
+    same = "x" * 500 + "tail " * 90 + "and"
+    rows = [(1, "s", f"Start {word} end."), (2, "s", f"Start {word} end."), (3, "s", f"Start {word}x then."), (4, "s", f"Look at {word}"), (5, "t", "a" + same), (6, "t", "b" + same), (7, "t", "c" + same)]
+    got = {r["doc_id"]: r["cut"] for r in truncation.truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    # three lone lines that differ only far from their end are three forms
+    assert got == {1: False, 2: False, 3: False, 4: True, 5: True, 6: True, 7: True}
+
+
 def test_queries_run(spark):
-    for name, query in queries.QUERIES.items():
-        assert query(spark, data_dir("sf0.001")).count() >= 0, name
+    d = data_dir("sf0.001")
+    got = {name: query(spark, d).collect() for name, query in queries.QUERIES.items()}
+    ids = {r["doc_id"] for r in got["p10_judged"] if r["cut"]}
+    assert ids == {r["doc_id"] for r in got["p10_found"]} and sum(r["cut_texts"] for r in got["p10_sources"]) == sum(r["cut"] for r in got["p10_judged"])
+    assert {(r["doc_id"], r["item_id"]) for r in got["p8_passages"]} == {(r["doc_id"], r["item_id"]) for r in got["p8_found"]} and all(r["words"] >= 13 for r in got["p8_passages"])
+    assert {(r["left_key"], r["tick_id"]) for r in got["p3_lags"]} == {(r["left_key"], r["tick_id"]) for r in got["p3_found"]}
+    taken: dict[str, int] = {}
+    for r in got["p9_mix"]:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["tokens"]
+    assert taken == {r["source"]: r["tokens_out"] for r in got["p9_shares"] if r["tokens_out"]}
+    for r in got["p9_shares"]:
+        assert r["documents_out"] <= r["documents"] * r["max_repeats"]
