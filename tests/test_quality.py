@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import grid, late, nearest, rowparse, spikes, timestamps, upsert
+from tickloom.operators import grid, late, rowparse, spikes, timestamps, upsert
 
 UTC = timezone.utc
 
@@ -215,39 +215,6 @@ def test_readings_against_brute_force(spark):
     assert spikes.flag_readings(df.where("false"), ["k"], "v", "id").count() == 0
 
 
-# --- nearest time
-
-
-def test_nearest_against_brute_force(spark):
-    rng = random.Random(3)
-    left = [("l", str(i), rng.choice("ab"), rng.randrange(0, 4_000), 40) for i in range(300)] + [("l", "n1", None, 5, 40), ("l", "n2", "a", None, 40)]
-    right = [(rng.choice("ab"), rng.randrange(0, 4_000) // 3 * 3, i) for i in range(200)] + [(None, 4, 900), ("a", None, 901)]
-    ls = spark.createDataFrame(left, "left_table string, left_key string, entity string, t long, tol long").withColumn("block", F.lit(1))
-    rs = spark.createDataFrame(right, "entity string, t long, rid long")
-    want = set()
-    for _, key, e, t, tol in left:
-        near = [(abs(t - rt), rid) for re, rt, rid in right if e and t is not None and re == e and rt is not None and abs(t - rt) <= tol]
-        if near:
-            want.add((key, min(near)[1]))
-    for kw in ({}, {"broadcast_keys": 0}):
-        got = nearest.nearest_by_time(ls, rs, block_us=500, **kw)
-        assert {(r["left_key"], r["rid"]) for r in got.collect()} == want
-
-
-def test_nearest_over_many_batches(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        test_nearest_against_brute_force(spark)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-
-
-def test_nearest_of_nothing(spark):
-    ls = spark.createDataFrame([], "left_table string, left_key string, entity string, t long, tol long")
-    rs = spark.createDataFrame([], "entity string, t long, rid long")
-    assert nearest.nearest_by_time(ls, rs).count() == 0
-
-
 # --- late events
 
 

@@ -1,11 +1,11 @@
-"""Queries p1 to p7: the core's data-quality operators over the quote pipeline's tables."""
+"""Queries p1, p2 and p4 to p7: the core's data-quality operators over the quote pipeline's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import grid, late, nearest, rowparse, spikes, timestamps, upsert
+from tickloom.operators import grid, late, rowparse, spikes, timestamps, upsert
 from tickloom.operators.metrics import quantized
 from tickloom.session import cut, fits_broadcast, held, load, us
 
@@ -114,26 +114,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return quotes.unionByName(spreads)
 
 
-# --- p3 -------------------------------------------------------------------------------------------------------------
-
-
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    ticks = load(spark, d, "market_ticks").where("occurred_at is not null and bid is not null and ask is not null").select(F.col("instrument").alias("entity"), us("occurred_at").alias("t"), F.col("id").alias("rid"))
-    side = lambda df, name, key, t, tol: df.select(F.lit(name).alias("left_table"), F.col(key).cast("string").alias("left_key"), F.col("instrument").alias("entity"), us(t).alias("t"), F.lit(tol).cast("long").alias("tol"))
-    news = side(load(spark, d, "news_events"), "news_events", "event_key", "occurred_at", 30_000_000)
-    reactions = side(load(spark, d, "reaction_measurements"), "reaction_measurements", "measurement_id", "before_time", 2_000_000)
-    return nearest.nearest_by_time(news.unionByName(reactions).where("left_key is not null"), ticks)
-
-
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("left_table", "left_key", F.col("rid").alias("tick_id")).distinct()
-
-
-def p3_lags(spark: SparkSession, d: str) -> DataFrame:
-    """Each pairing with its distance in time."""
-    return _pairs(spark, d).select("left_table", "left_key", F.col("t").alias("left_us"), F.col("rid").alias("tick_id"), F.col("distance").alias("distance_us"))
-
-
 # --- p4 -------------------------------------------------------------------------------------------------------------
 
 P4_KEYS = ["table_name", "source", "series"]
@@ -197,4 +177,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_grid(spark, d).where("status <> 'observed'").select("source", "instrument", "slot_start_us").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_flags, p3_found, p3_lags, p4_found, p4_changelog, p4_hourly, p5_found, p6_found, p6_records, p7_found, p7_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_flags, p4_found, p4_changelog, p4_hourly, p5_found, p6_found, p6_records, p7_found, p7_grid)}

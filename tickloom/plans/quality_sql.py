@@ -4,22 +4,6 @@ from __future__ import annotations
 
 from tickloom.operators.rowparse import RECORDER_COLUMNS
 
-_TICKS = "select instrument, epoch_us(occurred_at) as us, id from market_ticks where occurred_at is not null and bid is not null and ask is not null and instrument is not null"
-
-_PAIRS = f"""
-with ticks as ({_TICKS}),
-lefts as (
-  select distinct 'news_events' as left_table, event_key as left_key, instrument, epoch_us(occurred_at) as t, 30000000 as tol from news_events
-  union all
-  select distinct 'reaction_measurements', cast(measurement_id as varchar), instrument, epoch_us(before_time), 2000000 from reaction_measurements
-),
-ranked as (
-  select l.left_table, l.left_key, l.t, m.id, abs(m.us - l.t) as distance, row_number() over (partition by l.left_table, l.left_key, l.t order by abs(m.us - l.t), m.id) as k
-  from lefts l join ticks m on m.instrument = l.instrument and m.us >= l.t - l.tol and m.us <= l.t + l.tol
-  where l.left_key is not null
-)
-"""
-
 _ROWS4 = """
 with rows as (
   select 'market_ticks' as table_name, source, instrument as series, epoch_us(occurred_at) as e, epoch_us(received_at) as r, (bid + ask) / 2 as v from market_ticks where occurred_at is not null and received_at is not null
@@ -72,8 +56,6 @@ judged as (
 """
 
 ORACLE = {
-    "p3_found": _PAIRS + "select distinct left_table, left_key, id as tick_id from ranked where k = 1",
-    "p3_lags": _PAIRS + "select left_table, left_key, t as left_us, id as tick_id, distance as distance_us from ranked where k = 1",
     "p4_found": _ROWS4 + "select distinct table_name, source, series, period_start_us, case when late >= 1200000000 then 'refused' else 'corrected' end as verdict from timed where late >= 0",
     "p4_hourly": _ROWS4 + "select table_name, source, series, cast(floor(period_start_us / 3600000000) as bigint) * 3600000000 as period_start_us, count(*) as n from timed where late < 1200000000 group by all",
     "p5_found": _P5,
