@@ -172,6 +172,46 @@ def test_backtest_stop_target_and_end(spark):
     assert [(r["entry"], r["exit"], r["reason"]) for r in got] == [(101.0, 104.0, "target"), (103.0, 99.0, "stop"), (98.0, 98.0, "end")]
 
 
+def test_backtest_takes_the_next_intent_at_the_tick_that_closes(spark):
+    q = quote_frame(spark, [(0, 100), (1, 100), (2, 95), (3, 95), (4, 95)], 0.0).select("source", "instrument", "us", "id", "bid", "ask")
+    schema = "source string, instrument string, us long, side int, stop double, target double"
+    i = spark.createDataFrame([("s", "X", BASE, 1, 2.0, 9.0), ("s", "X", BASE + int(1.2 * S), -1, 2.0, 2.0), ("s", "X", BASE - 5 * S, 1, 1.0, 1.0), ("s", "X", BASE + 3 * S, 1, -1.0, 1.0), ("s", "X", BASE + 60 * S, 1, 1.0, 1.0)], schema)
+    got = collected(folds.backtest(q, i, ["source", "instrument"]), "opened_us")
+    assert [((r["opened_us"] - BASE) // S, r["side"], r["entry"], r["exit"], r["reason"]) for r in got] == [(1, 1, 100.0, 95.0, "stop"), (2, -1, 95.0, 95.0, "end")]
+
+
+def test_backtest_against_a_loop(spark, monkeypatch):
+    rng = random.Random(31)
+    prices, b = [], 100.0
+    for n in range(900):
+        b = round(b + rng.gauss(0, 0.05), 3)
+        prices.append((n * 7 // 3, b))  # several ticks share a second
+    q = quote_frame(spark, prices, 0.02).select("source", "instrument", "us", "id", "bid", "ask")
+    made = [(BASE + rng.randrange(-10, 2200) * S + rng.randrange(S), rng.choice([-1, 1, 1, 0]), rng.choice([0.1, 0.4, 3.0, 0.0]), rng.choice([0.2, 0.5, 4.0])) for _ in range(150)]
+    i = spark.createDataFrame([("s", "X", *m) for m in made], "source string, instrument string, us long, side int, stop double, target double")
+    ticks = [(BASE + t * S, n, p, p + 0.02) for n, (t, p) in enumerate(prices)]
+    want, pending, position = [], sorted(made), None
+    for us, _, bid, ask in ticks:
+        if position:
+            o, side, entry, stop, target = position
+            price = bid if side > 0 else ask
+            if side * (price - entry) <= -stop + 1e-12 or side * (price - entry) >= target - 1e-12:
+                want.append((o, side, us, price))
+                position = None
+        while pending and pending[0][0] + 250_000 <= us:
+            at, side, stop, target = pending.pop(0)
+            if at >= ticks[0][0] and position is None and side and stop > 0 and target > 0:
+                position = (us, side, ask if side > 0 else bid, stop, target)
+    if position:
+        want.append((position[0], position[1], ticks[-1][0], ticks[-1][2] if position[1] > 0 else ticks[-1][3]))
+    for width in (None, 300 * S):
+        if width:
+            monkeypatch.setattr(shards.shard_of, "__defaults__", (width,))
+        got = [(r["opened_us"], r["side"], r["closed_us"], r["exit"]) for r in collected(folds.backtest(q, i, ["source", "instrument"]), "opened_us")]
+        assert [g[:3] for g in got] == [w[:3] for w in want] and len(got) > 20
+        assert all(g[3] == pytest.approx(w[3]) for g, w in zip(got, want))
+
+
 def test_metrics(spark):
     assert metrics.block_interval([2.0] * 100, 200, 10, 1) == (2.0, 2.0) and metrics.block_interval([], 10, 5, 1) == (0.0, 0.0)
     assert metrics.block_interval([1.0, 2.0, 5.0, 3.0], 300, 3, 7) == metrics.block_interval([1.0, 2.0, 5.0, 3.0], 300, 3, 7)

@@ -37,8 +37,9 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_
         reach = (F.col("_t") - tolerance_us, F.col("_t")) if forward else (F.col("_t"), F.col("_t") + tolerance_us)
         spread = rights.select(lefts.columns).withColumn("_shard", F.explode(F.sequence(*[shard_of(e, width) for e in reach])))
         both, ends = spread.unionByName(lefts.withColumn("_shard", shard_of("_t", width))), None
-    w = Window.partitionBy(*keys, "_shard").orderBy("_t", "_o")
-    found = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # forward in descending order: a frame that grows costs a step a row, one that runs to the end costs all rows behind
+    w = Window.partitionBy(*keys, "_shard").orderBy(*[F.desc(c) if forward else F.asc(c) for c in ("_t", "_o")])
+    found = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     merged = both.withColumn("_found", found).where("_row is not null")
     if ends is not None:
         beyond = F.col("_shard") < F.col("_edge") if forward else F.col("_shard") > F.col("_edge")

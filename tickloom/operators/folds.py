@@ -14,7 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from tickloom.operators.asof import asof
 from tickloom.operators.shards import SHARD_US, carried, core, running_sum, shard_of, with_halo
 from tickloom.session import cut
 
@@ -160,48 +162,79 @@ def backtest(ticks: DataFrame, intents: DataFrame, keys: list[str], latency_us:
     """Trades of a single position per key: (keys, opened_us, side, entry, closed_us, exit, reason, net_bps).
 
     ticks: keys, us, id, bid, ask; intents: keys, us, side (1/-1), stop, target (distances). An intent becomes executable latency_us later, at the
-    first tick from then on; while a position is open further intents lapse. The stop is checked before the target; what
-    is open at the end closes there. Fills are at ask for buys and bid for sells, worsened by slippage. The merged stream passes through its task in order.
-    """
-    schema = ", ".join(f"{k} {ticks.schema[k].dataType.simpleString()}" for k in keys) + ", opened_us long, side int, entry double, closed_us long, exit double, reason string, net_bps double"
-    stream = ticks.dropna(subset=[*keys, "us", "bid", "ask"]).select(*keys, "us", F.lit(1).alias("kind"), F.col("id").cast("long").alias("id"), "bid", "ask", F.lit(0).alias("side"), F.lit(0.0).alias("stop"), F.lit(0.0).alias("target"))
-    orders = intents.dropna(subset=[*keys, "us", "side"]).select(*keys, (F.col("us") + latency_us).alias("us"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask"), F.col("side").cast("int").alias("side"), F.col("stop").cast("double").alias("stop"), F.col("target").cast("double").alias("target"))
-    merged = stream.unionByName(orders).repartition(*keys).sortWithinPartitions(*keys, "us", "kind", "id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, pending, open_, last = None, None, None, None
-        names = [*keys, "opened_us", "side", "entry", "closed_us", "exit", "reason", "net_bps"]
+    first tick from then on, if no position is open after that tick's own exits; else it lapses. So does one with another side, a stop or target that
+    isn't above zero, from before the first tick, or executable only after the last one. Of intents for one tick the earliest counts (then the larger side, stop and target).
+    A position closes at the first later tick at which its stop (checked first) or target is reached; what is open at the end closes there. Fills are at ask for
+    buys and bid for sells, worsened by slippage (a share of the price). Rows with a null key, time or price are left out.
 
-        def close(us, bid, ask, reason):
-            opened, side, entry = open_[:3]
-            price = bid * (1 - slippage) if side > 0 else ask * (1 + slippage)
-            return (*group, opened, side, entry, us, price, reason, side * (price / entry - 1) * 10_000)
-
-        for pdf in batches:
-            out = []
-            for g, us, kind, bid, ask, side, stop, target in zip(zip(*[pdf[k].tolist() for k in keys]), *[pdf[c].tolist() for c in ("us", "kind", "bid", "ask", "side", "stop", "target")]):
-                if g != group:
-                    if open_ and last:
-                        out.append(close(*last, "end"))
-                    group, pending, open_, last = g, None, None, None
-                if kind == 0:
-                    if open_ is None and pending is None:
-                        pending = (side, stop, target)
-                    continue
-                last = (us, bid, ask)
-                if open_ is None and pending is not None:
-                    s = pending[0]
-                    open_ = (us, s, ask * (1 + slippage) if s > 0 else bid * (1 - slippage), pending[1], pending[2])
-                    pending = None
-                    continue
-                if open_ is not None:
-                    _, s, entry, stop_, target_ = open_
-                    move = (bid - entry) if s > 0 else (entry - ask)
-                    if move <= -stop_ or move >= target_:
-                        out.append(close(us, bid, ask, "stop" if move <= -stop_ else "target"))
-                        open_ = None
-            yield pd.DataFrame(out, columns=names)
-        if open_ and last:
-            yield pd.DataFrame([close(*last, "end")], columns=names)
+    No series is one task: each intent's exit is looked for in the shard of its entry, then in the first later shard whose extremes reach its stop or
+    target. What remains is to choose the spans that don't overlap, a fold over intents.
+    """
+    good = ticks.dropna(subset=[*keys, "us", "id", "bid", "ask"]).select(*keys, F.col("us").cast("long").alias("us"), F.col("id").cast("long").alias("id"), "bid", "ask")
+    ends = good.groupBy(*keys).agg(F.min("us").alias("_first"), F.max(F.struct("us", "id", "bid", "ask")).alias("_end"))
+    valid = intents.where((F.abs("side") == 1) & (F.col("stop") > 0) & (F.col("target") > 0)).select(*keys, F.col("us").cast("long").alias("at"), F.col("side").cast("int").alias("side"), F.col("stop").cast("double").alias("stop"), F.col("target").cast("double").alias("target"))
+    valid = valid.join(ends, keys).where("at >= _first").withColumn("due", F.col("at") + latency_us)
+    opened = asof(valid, good, keys, "due", "us", ["id", "bid", "ask"], "forward", prefix="o_").where("o_t is not null")
+    long, sign = F.col("side") > 0, F.lit(slippage)
+    entry = F.when(long, F.col("o_ask") * (1 + sign)).otherwise(F.col("o_bid") * (1 - sign))
+    # of the intents for one tick only the first can get it
+    order = F.struct("at", -F.col("side"), -F.col("stop"), -F.col("target"))
+    first = Window.partitionBy(*keys, "o_t").orderBy(order)
+    placed = opened.withColumn("_k", F.row_number().over(first)).where("_k = 1").withColumn("entry", entry)
+    placed = placed.withColumn("low", F.col("entry") - F.when(long, F.col("stop")).otherwise(F.col("target"))).withColumn("high", F.col("entry") + F.when(long, F.col("target")).otherwise(F.col("stop")))
+    placed = cut(placed.select(*keys, "at", "side", "entry", "low", "high", F.col("o_t").alias("o_us"), "o_id", "_end", shard_of("o_t").alias("_shard")))
+
+    sharded = good.withColumn("_shard", shard_of("us"))
+    near = _first_hits(placed, sharded, keys)
+    found, open_ = near.where("x_us is not null"), near.where("x_us is null").drop("x_us", "x_id", "x_bid", "x_ask")
+    extremes = sharded.groupBy(*keys, "_shard").agg(F.min("bid").alias("bl"), F.max("bid").alias("bh"), F.min("ask").alias("al"), F.max("ask").alias("ah"))
+    reached = F.when(F.col("side") > 0, (F.col("bl") <= F.col("low")) | (F.col("bh") >= F.col("high"))).otherwise((F.col("al") <= F.col("low")) | (F.col("ah") >= F.col("high")))
+    later = open_.alias("p").join(extremes.withColumnRenamed("_shard", "_far"), keys).where((F.col("_far") > F.col("_shard")) & reached).groupBy(*keys, "o_us").agg(F.min("_far").alias("_far"))
+    further = open_.join(later, [*keys, "o_us"], "left")
+    second = _first_hits(further.where("_far is not null").withColumn("_shard", F.col("_far")).drop("_far"), sharded, keys)
+    rest = further.where("_far is null").drop("_far").withColumns({f"x_{c}": F.lit(None).cast(t) for c, t in (("us", "long"), ("id", "long"), ("bid", "double"), ("ask", "double"))})
+    spans = found.unionByName(second).unionByName(rest)
+    # what never closes holds the position for good
+    never = F.col("x_us").isNull()
+    spans = spans.withColumn("_until", F.when(never, (1 << 62)).otherwise(F.col("x_us"))).withColumn("_until_id", F.when(never, (1 << 62)).otherwise(F.col("x_id"))).withColumn("_reach", F.col("_until") + 1)
 
-    return merged.mapInPandas(run, schema)
+    def step(until, values):
+        start, end = values[:2], values[2:]
+        return (end, True) if until is None or start >= until else (until, False)
+
+    parts = _islands(spans, keys, "o_us", "_reach", ["o_us"])
+    taken = ordered_fold(parts, [*keys, "_island"], ["o_us"], step, ["o_us", "o_id", "_until", "_until_id"])
+    out = lambda c: F.when(F.col("x_us").isNull(), F.col(f"_end.{c}")).otherwise(F.col(f"x_{c}"))
+    exit_ = F.when(long, out("bid") * (1 - sign)).otherwise(out("ask") * (1 + sign))
+    stopped = F.when(long, F.col("x_bid") <= F.col("low")).otherwise(F.col("x_ask") >= F.col("high"))
+    reason = F.when(F.col("x_us").isNull(), "end").when(stopped, "stop").otherwise("target")
+    return taken.select(*keys, F.col("o_us").alias("opened_us"), "side", "entry", out("us").alias("closed_us"), exit_.alias("exit"), reason.alias("reason"), (F.col("side") * (exit_ / F.col("entry") - 1) * 10_000).alias("net_bps"))
+
+
+def _first_hits(spans: DataFrame, sharded: DataFrame, keys: list[str]) -> DataFrame:
+    """spans (o_us, o_id, side, low, high, _shard) with the first tick of their shard, after (o_us, o_id), at which the executable price leaves (low, high)."""
+    schema = StructType([*spans.schema.fields, *[StructField(f"x_{c}", sharded.schema[c].dataType) for c in ("us", "id", "bid", "ask")]])
+
+    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(["us", "id"])
+        us, ids, bid, ask = (right[c].to_numpy() for c in ("us", "id", "bid", "ask"))
+        hits = np.full(len(left), -1)
+        for n, (o_us, o_id, side, low, high) in enumerate(zip(*[left[c].tolist() for c in ("o_us", "o_id", "side", "low", "high")])):
+            price = bid if side > 0 else ask
+            at = int(np.searchsorted(us, o_us, "left"))
+            while at < len(us) and us[at] == o_us and ids[at] <= o_id:
+                at += 1
+            size = 256
+            while at < len(us):
+                part = price[at : at + size]
+                out = (part <= low) | (part >= high)
+                if out.any():
+                    hits[n] = at + int(out.argmax())
+                    break
+                at, size = at + size, size * 2
+        some = hits >= 0
+        return left.assign(**{f"x_{c}": pd.Series(np.where(some, v[hits], 0), index=left.index).astype(kind).where(some) for c, v, kind in (("us", us, "Int64"), ("id", ids, "Int64"), ("bid", bid, "float64"), ("ask", ask, "float64"))} if len(us) else {f"x_{c}": None for c in ("us", "id", "bid", "ask")})
+
+    by = [*keys, "_shard"]
+    own = sharded.join(spans.select(*by).distinct(), by, "left_semi")
+    return spans.groupBy(*by).cogroup(own.groupBy(*by)).applyInPandas(find, schema)

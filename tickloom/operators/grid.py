@@ -72,7 +72,7 @@ def regular_grid(ticks: DataFrame, sessions: DataFrame, slot_us: int = SLOT_US,
         .withColumn("knot", F.when(F.col("known"), F.struct("slot", F.col("r.us").alias("us"), F.col("r.bid").alias("bid"), F.col("r.ask").alias("ask"), _slope("p", "r", "q", "bid").alias("d_bid"), _slope("p", "r", "q", "ask").alias("d_ask"))))
     )
     w = Window.partitionBy(*keys).orderBy("slot")
-    placed = knots.withColumn("left", F.last("knot", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("right", F.first("knot", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    placed = knots.withColumn("left", F.last("knot", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("right", F.last("knot", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)))
     start = F.col("slot") * slot_us
     between = F.coalesce(F.col("right.slot") - F.col("left.slot") - 1 <= max_gap_slots, F.lit(False))
     status = F.when(F.col("known"), "observed").when(between, "filled").otherwise("gap")

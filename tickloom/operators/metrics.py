@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
-from math import fsum
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.folds import _islands
+from tickloom.operators.quantiles import quantiles_of, weighted_quantiles
+from tickloom.operators.shards import running_sum, shard_of
+from tickloom.session import written
+
 
 def quantized(c: Column | str, digits: int = 6) -> Column:
     """A double cut to so many places, half up: equal for sums added in different orders."""
@@ -23,16 +26,23 @@ def quantized(c: Column | str, digits: int = 6) -> Column:
 
 
 def ledger(value: str) -> list[Column]:
-    """n, mean, median, share of gains and profit factor of a column of results; the factor is null without losses."""
+    """n, mean, share of gains and profit factor of a column of results; the factor is null without losses."""
     v = F.col(value)
     gains, losses = F.sum(F.when(v > 0, v).otherwise(0.0)), F.sum(F.when(v < 0, -v).otherwise(0.0))
-    return [F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.avg((v > 0).cast("double")).alias("win_rate"), (gains / F.nullif(losses, F.lit(0.0))).alias("profit_factor")]
+    return [F.count(v).alias("n"), F.avg(v).alias("mean"), F.avg((v > 0).cast("double")).alias("win_rate"), (gains / F.nullif(losses, F.lit(0.0))).alias("profit_factor")]
+
+
+def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, mean, win_rate, profit_factor, median) of a column of results. The rows are computed once; the median comes from counts per value, so that no group is one buffer."""
+    rows = written(rows.select(*keys, value))
+    a, b = rows.groupBy(*keys).agg(*ledger(value)).alias("a"), quantiles_of(rows, keys, value, {"median": 0.5}).drop("_n").alias("b")
+    return a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left").select("a.*", "b.median")
 
 
 def slices(rows: DataFrame, dimensions: list[str], value: str) -> DataFrame:
-    """(dimension, level, ledger columns): overall and by each dimension on its own, in one pass. Null levels are named 'null'."""
+    """(dimension, level, summary columns): overall and by each dimension on its own, in one pass. Null levels are named 'null'."""
     parts = F.explode(F.array(F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("level")), *[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("null")).alias("level")) for d in dimensions]))
-    return rows.select(parts.alias("_p"), value).groupBy("_p.dimension", "_p.level").agg(*ledger(value))
+    return summary(rows.select(parts.alias("_p"), value).select("_p.dimension", "_p.level", value), ["dimension", "level"], value)
 
 
 def robust_threshold(rows: DataFrame, keys: list[str], value: str, k: float = 3.0, least: int = 100) -> DataFrame:
@@ -40,11 +50,11 @@ def robust_threshold(rows: DataFrame, keys: list[str], value: str, k: float = 3.
 
     Both medians are exact, from counts per distinct value.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("m"))
-    mid = counts.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, 0.5, m)").alias("median"), F.sum("m").alias("n"))
+    counts = written(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("m")))
+    mid = weighted_quantiles(counts, keys, value, "m", {"median": 0.5}).where(F.col("_n") >= least).drop("_n")
     off = counts.join(mid, keys).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    mad = off.groupBy(*keys).agg(F.max("median").alias("median"), F.max("n").alias("n"), F.expr("percentile(_d, 0.5, m)").alias("mad"))
-    return mad.where((F.col("n") >= least) & (F.col("mad") > 0)).select(*keys, "median", "mad", (F.col("median") + k * 1.4826 * F.col("mad")).alias("threshold"))
+    mad = weighted_quantiles(off.groupBy(*keys, "_d").agg(F.sum("m").alias("m")), keys, "_d", "m", {"mad": 0.5}).drop("_n")
+    return mid.join(mad, keys).where(F.col("mad") > 0).select(*keys, "median", "mad", (F.col("median") + k * 1.4826 * F.col("mad")).alias("threshold"))
 
 
 def concentration(daily: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
@@ -77,20 +87,17 @@ def autocorrelation(rows: DataFrame, keys: list[str], order: list[str], value: s
 
 
 def merge_spans(trades: DataFrame, keys: list[str], start: str, end: str, order: list[str]) -> DataFrame:
-    """trades with span: spans that touch or overlap (in closed form) an earlier one of their keys share its number."""
-    w = Window.partitionBy(*keys).orderBy(start, *order)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = trades.withColumn("_f", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
-    return marked.withColumn("span", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
+    """trades with span: spans (in microseconds) that touch or overlap (in closed form) an earlier one of their keys share its number."""
+    rows = trades.withColumn("_reach", F.col(end) + 1)
+    return _islands(rows, keys, start, "_reach", [start, *order]).withColumnRenamed("_island", "span").drop("_reach")
 
 
 def concurrency(trades: DataFrame, keys: list[str], start: str, end: str, volume: str) -> DataFrame:
-    """(keys, max_volume, max_tickets) open at once; at one instant what closes goes before what opens."""
+    """(keys, max_volume, max_tickets) open at once; at one instant what closes goes before what opens. Running sums are completed over time shards."""
     ends = trades.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("o"), F.col(volume).cast("double").alias("v"), F.lit(1).alias("n")), F.struct(F.col(end).alias("t"), F.lit(0).alias("o"), (-F.col(volume)).cast("double").alias("v"), F.lit(-1).alias("n")))).alias("e"))
-    steps = ends.groupBy(*keys, "e.t", "e.o").agg(F.sum("e.v").alias("v"), F.sum("e.n").alias("n"))
-    w = Window.partitionBy(*keys).orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumn("v", F.sum("v").over(w)).withColumn("n", F.sum("n").over(w))
-    return run.groupBy(*keys).agg(F.max("v").alias("max_volume"), F.max("n").alias("max_tickets"))
+    steps = ends.groupBy(*keys, F.col("e.t").alias("t"), F.col("e.o").alias("o")).agg(F.sum("e.v").alias("v"), F.sum("e.n").alias("n"))
+    run = running_sum(running_sum(steps, keys, ["t", "o"], F.col("v"), "volume_open", shard_of("t")), keys, ["t", "o"], F.col("n"), "tickets_open", shard_of("t"))
+    return run.groupBy(*keys).agg(F.max("volume_open").alias("max_volume"), F.max("tickets_open").alias("max_tickets"))
 
 
 def block_interval(values: list[float], samples: int, block: int, seed: int) -> tuple[float, float]:
@@ -129,7 +136,7 @@ def ridge(rows: DataFrame, features: list[str], target: str, strength: float = 1
     Missing features take the feature's median; a constant feature gets scale 1. The intercept isn't penalised.
     """
     good = rows.where(F.col(target).isNotNull())
-    stats = good.agg(*[F.percentile(F.col(f), F.lit(0.5)).alias(f"m_{f}") for f in features]).first()
+    stats = {f"m_{f}": (quantiles_of(good, [], f, {"m": 0.5}).first() or [None])[0] for f in features}
     filled = good.select(*[F.coalesce(F.col(f).cast("double"), F.lit(float(stats[f"m_{f}"] or 0.0))).alias(f) for f in features], F.col(target).cast("double").alias(target))
     spread = filled.agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("a", F.avg), ("s", F.stddev_pop))]).first()
     z = [(F.col(c) - float(spread[f"a_{c}"])) / float(spread[f"s_{c}"] or 1.0) for c in features] + [F.lit(1.0)]
@@ -176,12 +183,3 @@ def folds(spark: SparkSession, start: datetime, end: datetime, config: WalkForwa
         out.append((k + 1, start, train_end, v0, v1, t0, t1))
         k += 1
     return spark.createDataFrame(out, "fold int, train_start timestamp, train_end timestamp, validation_start timestamp, validation_end timestamp, test_start timestamp, test_end timestamp")
-
-
-def mean_exact(values: list[float]) -> float:
-    return fsum(values) / len(values) if values else 0.0
-
-
-def batches_of(values: list, size: int) -> Iterator[list]:
-    for i in range(0, len(values), size):
-        yield values[i : i + size]

@@ -52,7 +52,7 @@ def outcomes(bars: DataFrame, horizon_s: int, config: OutcomeConfig = OutcomeCon
     as_quote = event(F.col("open_us"), 1, F.col("e"), none.cast("long"), none.cast("long"))
     as_decision = event(F.col("bar_us") + SECOND + c.latency_us, 0, none.cast(kind), F.col("bar_us"), F.col("segment").cast("long"))
     merged = rows.select(*SERIES, "shard", F.explode(F.when(F.col("core"), F.array(as_quote, as_decision)).otherwise(F.array(as_quote))).alias("v")).select(*SERIES, "shard", "v.*")
-    nxt = F.first("e", ignorenulls=True).over(Window.partitionBy(*SERIES, "shard").orderBy("_t", "_o").rowsBetween(0, Window.unboundedFollowing))
+    nxt = F.last("e", ignorenulls=True).over(Window.partitionBy(*SERIES, "shard").orderBy(F.desc("_t"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0))
     found = merged.withColumn("e", nxt).where("bar_us is not null")
     entered = (F.col("e.open_us") - F.col("_t") <= c.max_entry_delay_us) & (F.col("e.segment") == F.col("own_segment"))
     valid = F.coalesce(entered & (F.col("e.exit.segment") == F.col("e.segment")), F.lit(False))

@@ -112,69 +112,48 @@ class Staging:
     runner: bool = True
 
 
-class _Basket:
-    """State of one episode's position: a handful of numbers, whatever the length of its path."""
-
-    def __init__(self, side: int, us: int, price: float, c: Staging) -> None:
-        self.side, self.opened, self.first, self.prices, self.c = side, us, price, [price], c
-        self.peak, self.banked, self.weight, self.done, self.value = float("-inf"), 0.0, 1.0, None, 0.0
-
-    def step(self, us: int, bid: float, ask: float) -> None:
-        c, s = self.c, self.side
-        close, open_ = (bid, ask) if s > 0 else (ask, bid)
-        move = s * (close - self.first) / self.first * 10_000
-        stage = len(self.prices) - 1
-        if c.staged and stage < len(c.stages_bps) and move <= -c.stages_bps[stage]:
-            self.prices.append(open_)
-        self.value = sum(s * (close - p) / p * 10_000 for p in self.prices) / len(self.prices)
-        if self.value <= -c.basket_stop_bps:
-            self.done = "basket_stop"
-            return
-        if us - self.opened >= c.failure_s * SECOND and move <= -c.failure_bps:
-            self.done = "quick_failure"
-            return
-        self.peak = max(self.peak, self.value)
-        if c.runner and self.weight == 1.0 and self.value >= c.partial_bps:
-            self.banked, self.weight = self.value / 2, 0.5
-        if c.runner and self.weight < 1.0 and self.peak - self.value >= c.trail_bps:
-            self.done = "trailing"
-        elif us >= self.opened + c.hold_s * SECOND:
-            self.done = "time"
-
-
 def staged_positions(episodes: DataFrame, quotes: DataFrame, keys: list[str], config: Staging = Staging()) -> DataFrame:
     """(episode, gross_bps, net_bps, tickets, partial, reason): staged entries on adverse moves, a basket stop, an early exit for quick failures,
-    half taken at a target and the rest trailed. Paths stream through their task in time order; episodes without entry or exit give no row."""
+    half taken at a target and the rest trailed. Episodes without entry or exit give no row."""
     return staged_variants(episodes, quotes, keys, {"": config}).drop("variant")
 
 
 def staged_variants(episodes: DataFrame, quotes: DataFrame, keys: list[str], variants: dict[str, Staging]) -> DataFrame:
-    """staged_positions of each variant, with its name as variant, in one pass over the paths. All variants see the longest variant's path."""
-    reach = max(c.delay_s + c.max_delay_s + c.hold_s + 30 for c in variants.values())
-    paths = quote_paths(episodes, quotes, keys, reach * SECOND).select("episode", "side", "us", "id", "bid", "ask")
-    schema = "variant string, episode long, gross_bps double, net_bps double, tickets int, partial boolean, reason string"
+    """staged_positions of each variant, with its name as variant, in one pass over the paths. All variants see the longest variant's path.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        episode, start, baskets = None, 0, {}
-        for pdf in batches:
-            out = []
-            for e, side, us, bid, ask in zip(*[pdf[k].tolist() for k in ("episode", "side", "us", "bid", "ask")]):
-                if e != episode:
-                    episode, start, baskets = e, us, dict.fromkeys(variants)
-                for name, basket in list(baskets.items()):
-                    c = variants[name]
-                    if basket is None:
-                        if not start + c.delay_s * SECOND <= us <= start + (c.delay_s + c.max_delay_s) * SECOND:
-                            continue
-                        basket = baskets[name] = _Basket(side, us, ask if side > 0 else bid, c)
-                    basket.step(us, bid, ask)
-                    if basket.done:
-                        gross, n = basket.banked + basket.weight * basket.value, len(basket.prices)
-                        out.append((name, e, gross, gross - 2 * n * c.slippage_bps, n, basket.weight < 1.0, basket.done))
-                        del baskets[name]
-            yield pd.DataFrame(out, columns=["variant", "episode", "gross_bps", "net_bps", "tickets", "partial", "reason"])
-
-    return paths.repartition("episode").sortWithinPartitions("episode", "us", "id").mapInPandas(run, schema)
+    Everything is a first hit on the path: the entry, then each stage (the first quote after the stage before at which the first ticket is down by the
+    stage's step), the half taken (the first quote at which the mean result of the tickets so far reaches its target), and the exit, the first quote
+    with any reason. Of several reasons at one quote the basket stop counts before the quick failure, that before the trailing stop, and time last.
+    A quote at which the position is stopped or fails takes no half. Windows hold one episode's path, which its reach bounds.
+    """
+    reach = max(c.delay_s + c.max_delay_s + c.hold_s + 30 for c in variants.values())
+    kinds = F.array(*[F.struct(F.lit(name).alias("variant"), *[F.lit(getattr(c, f)).alias(f) for f in ("delay_s", "max_delay_s", "hold_s", "basket_stop_bps", "failure_s", "failure_bps", "partial_bps", "trail_bps", "slippage_bps", "runner")], F.array(*[F.lit(float(b)) for b in (c.stages_bps if c.staged else ())]).cast("array<double>").alias("steps")) for name, c in variants.items()])
+    path = Window.partitionBy("variant", "episode")
+    upto = path.orderBy("us", "id").rowsBetween(Window.unboundedPreceding, 0)
+    first = lambda test, *more: F.min(F.when(test, F.struct("us", "id", *more))).over(path)
+    at = F.struct("us", "id")
+    place = lambda hit: F.struct(F.col(f"{hit}.us").alias("us"), F.col(f"{hit}.id").alias("id"))
+    since = lambda hit: F.col(hit).isNotNull() & (at >= place(hit))
+    result = lambda price: F.col("side") * (F.col("out") - price) / price * 10_000
+
+    rows = quote_paths(episodes.dropna(subset=["episode", "side"]), quotes, keys, reach * SECOND).select("episode", "side", "us", "id", side_price("side", "bid", "ask", True).alias("into"), side_price("side", "bid", "ask", False).alias("out"), F.explode(kinds).alias("v"))
+    rows = rows.select("*", "v.*").drop("v").withColumn("due", F.min("us").over(path) + F.col("delay_s") * SECOND)
+    rows = rows.withColumn("entry", first(F.col("us").between(F.col("due"), F.col("due") + F.col("max_delay_s") * SECOND), "into")).where(since("entry"))
+    rows = rows.withColumn("move", result(F.col("entry.into")))
+    tickets, total, before = F.lit(1), F.col("move"), None
+    for k in range(max(len(c.stages_bps) if c.staged else 0 for c in variants.values())):
+        down = F.col("move") <= -F.get("steps", F.lit(k))
+        rows = rows.withColumn(f"stage{k}", first(down if before is None else down & F.col(before).isNotNull() & (at > place(before)), "into"))
+        before = f"stage{k}"
+        tickets, total = tickets + since(before).cast("int"), total + F.when(since(before), result(F.col(f"{before}.into"))).otherwise(0.0)
+    rows = rows.withColumn("tickets", tickets).withColumn("value", total / F.col("tickets"))
+    rows = rows.withColumn("peak", F.max("value").over(upto)).withColumn("half", first(F.col("runner") & (F.col("value") >= F.col("partial_bps")), "value"))
+    lost = F.when(F.col("value") <= -F.col("basket_stop_bps"), "basket_stop").when((F.col("us") - F.col("entry.us") >= F.col("failure_s") * SECOND) & (F.col("move") <= -F.col("failure_bps")), "quick_failure")
+    won = F.when(since("half") & (F.col("peak") - F.col("value") >= F.col("trail_bps")), "trailing").when(F.col("us") >= F.col("entry.us") + F.col("hold_s") * SECOND, "time")
+    rows = rows.withColumn("lost", lost).withColumn("reason", F.coalesce("lost", won)).withColumn("done", first(F.col("reason").isNotNull())).where(at == F.col("done"))
+    partial = F.coalesce(F.when(F.col("lost").isNull(), since("half")).otherwise(F.col("half").isNotNull() & (at > place("half"))), F.lit(False))
+    gross = F.when(F.col("partial"), (F.col("half.value") + F.col("value")) / 2).otherwise(F.col("value"))
+    return rows.withColumn("partial", partial).select("variant", "episode", gross.alias("gross_bps"), (gross - 2 * F.col("tickets") * F.col("slippage_bps")).alias("net_bps"), "tickets", "partial", "reason")
 
 
 def signal_trades(signals: DataFrame, quotes: DataFrame, keys: list[str], hold_us: int, max_delay_us: int) -> DataFrame:

@@ -38,19 +38,24 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return rows.withColumn("_inside", inside).join(totals, [*keys, "_shard"], "left").withColumn(name, F.col("_before") + F.col("_inside")).drop("_v", "_shard", "_inside", "_before")
 
 
+def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, shard: Column) -> DataFrame:
+    """df with the greatest value of the rows of its key up to itself. shard must not decrease along the order."""
+    rows = df.withColumn("_v", value).withColumn("_shard", shard)
+    tops = rows.groupBy(*keys, "_shard").agg(F.max("_v").alias("_top"))
+    tops = tops.select(*keys, "_shard", F.max("_top").over(Window.partitionBy(*keys).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = F.max("_v").over(Window.partitionBy(*keys, "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_inside", inside).join(tops, [*keys, "_shard"], "left").withColumn(name, F.greatest("_before", "_inside")).drop("_v", "_shard", "_inside", "_before")
+
+
 def carried(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, shard: Column, forward: bool = False, strict: bool = False) -> DataFrame:
     """df with the last non-null value at or before each row (forward: the first at or after it; strict: not the row's own)."""
     rows = df.withColumn("_v", value).withColumn("_shard", shard)
-    w = Window.partitionBy(*keys, "_shard").orderBy(*order)
     key = F.struct(*order, "_v")
     known = rows.where("_v is not null").groupBy(*keys, "_shard").agg((F.min(key) if forward else F.max(key)).alias("_k"))
     shards = rows.select(*keys, "_shard").distinct().join(known, [*keys, "_shard"], "left")
-    by = Window.partitionBy(*keys).orderBy("_shard")
-    if forward:
-        inside = F.first("_v", ignorenulls=True).over(w.rowsBetween(1 if strict else 0, Window.unboundedFollowing))
-        outside = F.first("_k._v", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        inside = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
-        outside = F.last("_k._v", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    # forward in descending order, as a frame that runs to the end costs all rows behind it
+    turn = F.desc if forward else F.asc
+    inside = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys, "_shard").orderBy(*map(turn, order)).rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
+    outside = F.last("_k._v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(turn("_shard")).rowsBetween(Window.unboundedPreceding, -1))
     shards = shards.select(*keys, "_shard", outside.alias("_outside"))
     return rows.withColumn("_inside", inside).join(shards, [*keys, "_shard"], "left").withColumn(name, F.coalesce("_inside", "_outside")).drop("_v", "_shard", "_inside", "_outside")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.bars import SERIES
 from tickloom.operators.classify import session_of
-from tickloom.operators.shards import DAY_US, core, running_sum, shard_of, with_halo
+from tickloom.operators.shards import DAY_US, core, running_max, running_sum, shard_of, with_halo
 
 SECOND = 1_000_000
 
@@ -37,7 +37,6 @@ def second_features(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 30, 60),
     median = F.expr("percentile(spread_bps, 0.5)").over(_before(w, 60))
     rate = F.avg("tick_count").over(recent)
     # the first bar of the window contributes as a base only: its own step reaches out of the window
-    bases = F.min("bar_us").over(recent)
     squares = F.sum(F.col("step") * F.col("step")).over(w.rangeBetween(-volatility_s * SECOND, 0))
     first_step = F.first(F.col("step") * F.col("step")).over(recent)
     steps = F.count(F.lit(1)).over(recent)
@@ -46,10 +45,10 @@ def second_features(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 30, 60),
         F.when(F.coalesce(median, F.col("spread_bps")) == 0, 1.0).otherwise(F.col("spread_bps") / F.nullif(F.coalesce(median, F.col("spread_bps")), F.lit(0.0))).alias("spread_shock_ratio"),
         F.coalesce(F.col("tick_count") / rate, F.lit(1.0)).alias("tick_intensity_ratio"),
         F.when(steps == 0, 0.0).otherwise(F.sqrt(F.greatest(squares - F.coalesce(first_step, F.lit(0.0)), F.lit(0.0)) / steps)).alias("realized_volatility"),
-        ((F.col("bar_us") - F.col("_prev_us")) / SECOND).alias("_near_age"), bases.alias("_bases"),
+        ((F.col("bar_us") - F.col("_prev_us")) / SECOND).alias("_near_age"),
         *[(F.col("mid") / F.last("mid").over(w.rangeBetween(-reach, -h * SECOND)) - 1).alias(f"return_{h}s") for h in horizons],
     )
-    out = core(out.drop("_bases"))
+    out = core(out)
     # ages beyond the halo come from the neighbouring shards
     return previous_age(out, "bar_us").withColumn("is_gap_start", F.coalesce(F.col("age_s") > carry_s, F.lit(False))).drop("_near_age")
 
@@ -114,17 +113,20 @@ def session_range(bars: DataFrame, start_hour: int, end_hour: int, high: str = "
 
 
 def bar_trend(bars: DataFrame, seconds: int) -> DataFrame:
-    """bars with the return over the trailing window, its path efficiency, prior high and low, and volatility."""
+    """bars with the return over the trailing window, its path efficiency, prior high and low, and the root mean square of its bar-to-bar returns
+    (the one into the window's first bar left out; 0 without any)."""
     w = by_bar()
     back = w.rangeBetween(-seconds * SECOND, -SECOND)
     full = w.rangeBetween(-seconds * SECOND, 0)
     step = F.col("close") - F.lag("close").over(w)
-    rows = bars.withColumn("_step", step)
+    square = F.pow(F.col("close") / F.lag("close").over(w) - 1, 2)
+    rows = bars.withColumn("_step", step).withColumn("_sq", F.coalesce(square, F.lit(0.0)))
     base = F.first("open").over(full)
     distance = F.sum(F.abs("_step")).over(full) - F.coalesce(F.abs(F.first("_step").over(full)), F.lit(0.0))
     return rows.select(
         *bars.columns, (F.col("close") / base - 1).alias("trend_return"), F.coalesce(F.try_divide(F.abs(F.col("close") - F.first("close").over(full)), distance), F.lit(0.0)).alias("efficiency"),
         F.max("high").over(back).alias("prior_high"), F.min("low").over(back).alias("prior_low"),
+        F.when(F.count(F.lit(1)).over(full) > 1, F.sqrt(F.greatest(F.sum("_sq").over(full) - F.first("_sq").over(full), F.lit(0.0)) / (F.count(F.lit(1)).over(full) - 1))).otherwise(0.0).alias("volatility"),
     )
 
 
@@ -201,9 +203,10 @@ def gaps(rows: DataFrame, t: str, value: str, gap_us: int) -> DataFrame:
 
 
 def drawdown(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """rows with equity, its running peak (never below zero) and the drawdown from it."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("equity", F.sum(value).over(upto)).withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(upto))).withColumn("drawdown", F.col("peak") - F.col("equity"))
+    """rows with equity, its running peak (never below zero) and the drawdown from it. order begins with a time in microseconds, by which hot keys are cut."""
+    shard = shard_of(order[0])
+    run = running_max(running_sum(rows, keys, order, F.col(value), "equity", shard), keys, order, F.col("equity"), "_top", shard)
+    return run.withColumn("peak", F.greatest(F.lit(0.0), F.col("_top"))).withColumn("drawdown", F.col("peak") - F.col("equity")).drop("_top")
 
 
 def spacing(rows: DataFrame, t: str) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import labs, market, market_sql, quality, quality_sql, trades
+from tickloom.plans import exchange, labs, labs_sql, market, market_sql, quality, quality_sql, research, trades
 
-MODULES = [quality, market, trades, labs]
-SQL_MODULES = [quality_sql, market_sql, trades, labs]
+MODULES = [quality, market, trades, labs, exchange, research]
+SQL_MODULES = [quality_sql, market_sql, trades, labs, labs_sql, exchange, research]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import asof, bars, classify, folds, metrics, outcomes, paths, windows
 from tickloom.operators.metrics import quantized
+from tickloom.operators.quantiles import quantiles_of
 from tickloom.plans import market, trades
 from tickloom.plans.market import FIVE, S, five, quotes, seconds
-from tickloom.session import cut, held
+from tickloom.operators.shards import carried, shard_of
+from tickloom.session import cut, held, written
 
 SECOND = 1_000_000
 # sessions here tick every few seconds, so delays and gaps are wider than the defaults
@@ -22,8 +24,7 @@ def _episodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _metrics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    out = rows.groupBy(*keys).agg(*metrics.ledger(value))
-    return out.select(*keys, "n", *[quantized(c, 4).alias(c) for c in ("mean", "median", "win_rate", "profit_factor")])
+    return metrics.summary(rows, keys, value).select(*keys, "n", *[quantized(c, 4).alias(c) for c in ("mean", "median", "win_rate", "profit_factor")])
 
 
 def lab01_baselines(spark, d):
@@ -42,13 +43,14 @@ def lab01_baselines(spark, d):
 
 
 def lab02_slices(spark, d):
-    """Breakout episodes by slice, with the block-bootstrap interval of the mean."""
+    """Breakout episodes by slice."""
     starts = market.win08_episode_starts(spark, d)
     f = windows.second_features(seconds(spark, d)).select(*S, "bar_us", "spread_shock_ratio", "tick_intensity_ratio")
     labels = outcomes.outcomes(seconds(spark, d), 30, LOOSE).where("valid").select(*S, "bar_us", "long_net_bps", "short_net_bps")
     rows = starts.join(f, [*S, "bar_us"]).join(labels, [*S, "bar_us"]).withColumn("net", F.when(F.col("side") > 0, F.col("long_net_bps")).otherwise(F.col("short_net_bps")))
     rows = rows.select("net", "bar_us", classify.session_of("bar_us").alias("session"), classify.level_of("spread_shock_ratio", 0.8, 1.2).alias("spread"), classify.level_of("tick_intensity_ratio", 0.8, 1.2).alias("activity"))
-    return metrics.slices(rows, ["session", "spread", "activity"], "net")
+    out = metrics.slices(rows, ["session", "spread", "activity"], "net")
+    return out.select("dimension", "level", "n", *[quantized(c, 4).alias(c) for c in ("mean", "median", "win_rate", "profit_factor")])
 
 
 # The fixed family of 252 policies: waits, pullbacks, holding seconds, stops and targets.
@@ -121,7 +123,7 @@ def lab13_matched_trades(spark, d):
     t = held(trades.trades(spark, d), odd=F.col("account") % 2)
     keyed = lambda o: t.where(F.col("odd") == o).select("symbol", "side", F.col("opened").alias("t"), "ticket")
     got = folds.match_one_to_one(keyed(0), keyed(1), ["symbol", "side"], "t", "ticket", trades.DAY)
-    return got.groupBy("symbol").agg(F.count(F.lit(1)).alias("pairs"), F.percentile(F.abs("lag_us"), F.lit(0.5)).alias("median_lag_us"))
+    return quantiles_of(got.select("symbol", F.abs("lag_us").alias("lag")), ["symbol"], "lag", {"median_lag_us": 0.5}).select("symbol", F.col("_n").alias("pairs"), "median_lag_us")
 
 
 def lab22_signal_trades(spark, d):
@@ -137,8 +139,8 @@ def lab22_signal_trades(spark, d):
 
 def lab17_latency_replay(spark, d):
     """The signal trades again with five latencies."""
-    t = lab22_signal_trades(spark, d).select(*S, F.xxhash64(*S, "us").alias("trade"), "side", F.col("entered_us").alias("entry_us"), F.col("exited_us").alias("exit_us"))
-    q = quotes(spark, d).groupBy(*S, "us").agg(F.max(F.struct("id", "bid", "ask")).alias("m")).select(*S, "us", "m.bid", "m.ask")
+    t = written(lab22_signal_trades(spark, d)).select(*S, F.xxhash64(*S, "us").alias("trade"), "side", F.col("entered_us").alias("entry_us"), F.col("exited_us").alias("exit_us"))
+    q = written(quotes(spark, d).groupBy(*S, "us").agg(F.max(F.struct("id", "bid", "ask")).alias("m")).select(*S, "us", "m.bid", "m.ask"))
     got = paths.latency_replay(t, q, S, [50_000, 250_000, SECOND, 5 * SECOND, 60 * SECOND], 30 * SECOND)
     return got.groupBy("latency_us", "reason").agg(F.count(F.lit(1)).alias("n"), quantized(F.avg("gross_bps"), 4).alias("mean_bps"))
 
@@ -146,11 +148,12 @@ def lab17_latency_replay(spark, d):
 def lab24_due_diligence(spark, d):
     """Per account: trades, result, profit factor, worst drawdown, most open at once, and the share of volume rises after losses."""
     t = trades.trades(spark, d)
-    w = Window.partitionBy("account").orderBy("closed", "ticket")
-    rows = windows.drawdown(t.withColumn("prev_net", F.lag("net").over(w)).withColumn("prev_volume", F.lag("volume").over(w)), ["account"], ["closed", "ticket"], "net")
-    after_loss = F.col("prev_net") < 0
-    out = rows.groupBy("account").agg(*metrics.ledger("net"), F.max("drawdown").alias("drawdown"), F.avg(F.when(after_loss, (F.col("volume") > F.col("prev_volume")).cast("double"))).alias("escalation"))
-    return out.join(metrics.concurrency(t, ["account"], "opened", "closed", "volume"), "account").select("account", "n", *[quantized(c, 3).alias(c) for c in ("mean", "median", "win_rate", "profit_factor", "drawdown", "escalation")], "max_volume", "max_tickets")
+    order = ["closed", "ticket", "net", "volume"]
+    before = carried(t.withColumn("net", quantized("net", 4)), ["account"], order, F.struct("net", "volume"), "prev", shard_of("closed"), strict=True)
+    rows = cut(windows.drawdown(before, ["account"], order, "net"))
+    own = rows.groupBy("account").agg(F.max("drawdown").alias("drawdown"), F.avg(F.when(F.col("prev.net") < 0, (F.col("volume") > F.col("prev.volume")).cast("double"))).alias("escalation"))
+    out = metrics.summary(rows, ["account"], "net").join(own, "account").join(metrics.concurrency(t, ["account"], "opened", "closed", "volume"), "account")
+    return out.select("account", "n", quantized(quantized(F.col("mean") * F.col("n"), 4) / F.col("n"), 3).alias("mean"), quantized("median", 5).alias("median"), *[quantized(c, 3).alias(c) for c in ("win_rate", "profit_factor", "escalation")], quantized("drawdown", 4).alias("drawdown"), "max_volume", "max_tickets")
 
 
 def sim10_zones(spark, d):

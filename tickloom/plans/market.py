@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import asof, bars, classify, folds, outcomes, upsert, windows
 from tickloom.operators.metrics import quantized
-from tickloom.session import load, us
+from tickloom.operators.quantiles import quantiles_of
+from tickloom.session import load, us, written
 
 S = bars.SERIES
 FIVE = bars.FIVE_MINUTES_US
@@ -45,7 +46,7 @@ def agg04_completed_bars(spark, d):
 
 def win01_second_features(spark, d):
     rows = windows.second_features(seconds(spark, d)).drop("tick_count", "quote_change_count", "spread_bps", "mid")
-    return _qz(rows, "intrasecond_return", "spread_shock_ratio", "tick_intensity_ratio", "return_1s", "return_5s", "return_30s", "return_60s", digits=8).drop("realized_volatility")
+    return _qz(rows, "intrasecond_return", "spread_shock_ratio", "tick_intensity_ratio", "return_1s", "return_5s", "return_30s", "return_60s", "realized_volatility", digits=8)
 
 
 def win03_prior_levels(spark, d):
@@ -62,8 +63,8 @@ def win05_session_range(spark, d):
 
 
 def win06_bar_trend(spark, d):
-    rows = windows.bar_trend(five(spark, d), 3600).select(*S, "bar_us", "trend_return", "efficiency", "prior_high", "prior_low")
-    return _qz(rows, "trend_return", "efficiency")
+    rows = windows.bar_trend(five(spark, d), 3600).select(*S, "bar_us", "trend_return", "efficiency", "prior_high", "prior_low", "volatility")
+    return _qz(rows, "trend_return", "efficiency", "volatility")
 
 
 def win07_segments(spark, d):
@@ -71,7 +72,11 @@ def win07_segments(spark, d):
 
 
 def win08_episode_starts(spark, d):
-    rows = windows.prior_levels(seconds(spark, d).select(*S, "bar_us", "mid"), "bar_us", "mid", (300,))
+    return _starts(seconds(spark, d))
+
+
+def _starts(second_bars: DataFrame) -> DataFrame:
+    rows = windows.prior_levels(second_bars.select(*S, "bar_us", "mid"), "bar_us", "mid", (300,))
     rows = rows.withColumn("side", windows.breakout("mid", "prior_high_300s", "prior_low_300s", 1.0))
     return windows.episode_starts(rows.select(*S, "bar_us", "side"), "bar_us", "side", 60_000_000)
 
@@ -139,7 +144,7 @@ def sim02_bar_outcomes(spark, d):
 def sim08_backtest(spark, d):
     """A single-position backtest of the episode starts of each series."""
     intents = sim09_cooldown(spark, d).select(*S, (F.col("bar_us") + 1_000_000).alias("us"), "side", F.lit(0.5).alias("stop"), F.lit(1.0).alias("target"))
-    return folds.backtest(quotes(spark, d), intents, S)
+    return _qz(folds.backtest(quotes(spark, d), intents, S), "net_bps")
 
 
 def _news(spark, d):
@@ -210,8 +215,7 @@ def join22_missing_bars(spark, d):
 def agg34_feed_report(spark, d):
     """Per source: quotes, spreads at three quantiles, and the longest silence."""
     q = quotes(spark, d)
-    p = lambda x: F.percentile(F.col("spread_bps"), F.lit(x))
-    rows = q.groupBy("source").agg(F.count(F.lit(1)).alias("n"), quantized(p(0.5)).alias("p50"), quantized(p(0.95)).alias("p95"), quantized(p(0.99)).alias("p99"))
+    rows = quantiles_of(q, ["source"], "spread_bps", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).select("source", F.col("_n").alias("n"), *[quantized(c).alias(c) for c in ("p50", "p95", "p99")])
     silent = windows.previous_age(q.select(*S, "us").distinct(), "us").groupBy("source").agg(F.max("age_s").alias("longest_gap_s"))
     return rows.join(silent, "source")
 
@@ -242,8 +246,9 @@ def prj26_arrival_issues(spark, d):
 
 def breakout_report(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: breakout episodes by instrument and side, with the outcome half a minute later."""
-    starts = win08_episode_starts(spark, d)
-    labels = outcomes.outcomes(seconds(spark, d), 30).select(*S, "bar_us", "valid", "long_net_bps", "short_net_bps")
+    bars_ = written(seconds(spark, d))
+    starts = _starts(bars_)
+    labels = outcomes.outcomes(bars_, 30).select(*S, "bar_us", "valid", "long_net_bps", "short_net_bps")
     rows = starts.join(labels, [*S, "bar_us"]).withColumn("net", F.when(F.col("side") > 0, F.col("long_net_bps")).otherwise(F.col("short_net_bps")))
     return rows.groupBy("instrument", "side").agg(F.count(F.lit(1)).alias("episodes"), F.count("net").alias("valid"), quantized(F.avg("net"), 4).alias("mean_net_bps"))
 

@@ -52,10 +52,10 @@ ORACLE = {
     "agg04_completed_bars": f"""with {B5}, m as (select source, instrument, k, lag(c) over (partition by source, instrument order by k) as m15_close from (select source, instrument, floor(bar_us / 900000000) as k, last(close order by bar_us) as c from b group by all)),
 h as (select source, instrument, k, lag(c) over (partition by source, instrument order by k) as h1_close from (select source, instrument, floor(bar_us / 3600000000) as k, last(close order by bar_us) as c from b group by all))
 select b.source, b.instrument, b.bar_us, m15_close, h1_close from b join m on b.source = m.source and b.instrument = m.instrument and m.k = floor(bar_us / 900000000) join h on b.source = h.source and b.instrument = h.instrument and h.k = floor(bar_us / 3600000000)""",
-    "win01_second_features": f"""with {S1}, f as (select *, (ask - bid) / mid * 10000 as sp, lag(bar_us) over ({W}) as pu from s),
-g as (select *, median(sp) over (w range between 60000000 preceding and 1 preceding) as med, avg(tick_count) over (w range between 60000000 preceding and 1 preceding) as rate,
-  {", ".join(f"last_value(mid) over (w range between 61000000 preceding and {h}000000 preceding) as m{h}" for h in (1, 5, 30, 60))} from f window w as ({W}))
-select source, instrument, bar_us, {qz('mid / open_mid - 1', 8)} as intrasecond_return, {qz('case when coalesce(med, sp) = 0 then 1.0 else sp / coalesce(med, sp) end', 8)} as spread_shock_ratio, {qz('coalesce(tick_count / rate, 1.0)', 8)} as tick_intensity_ratio,
+    "win01_second_features": f"""with {S1}, f as (select *, (ask - bid) / mid * 10000 as sp, lag(bar_us) over ({W}) as pu, mid / lag(mid) over ({W}) - 1 as step from s),
+g as (select *, case when count(*) over r = 0 then 0.0 else sqrt(greatest(sum(step * step) over (w range between 60000000 preceding and current row) - coalesce(first_value(step * step) over r, 0.0), 0.0) / count(*) over r) end as vol, median(sp) over (w range between 60000000 preceding and 1 preceding) as med, avg(tick_count) over (w range between 60000000 preceding and 1 preceding) as rate,
+  {", ".join(f"last_value(mid) over (w range between 61000000 preceding and {h}000000 preceding) as m{h}" for h in (1, 5, 30, 60))} from f window w as ({W}), r as (w range between 60000000 preceding and 1 preceding))
+select source, instrument, bar_us, {qz('vol', 8)} as realized_volatility, {qz('mid / open_mid - 1', 8)} as intrasecond_return, {qz('case when coalesce(med, sp) = 0 then 1.0 else sp / coalesce(med, sp) end', 8)} as spread_shock_ratio, {qz('coalesce(tick_count / rate, 1.0)', 8)} as tick_intensity_ratio,
   {", ".join(f"{qz(f'mid / m{h} - 1', 8)} as return_{h}s" for h in (1, 5, 30, 60))}, (bar_us - pu) / 1000000 as age_s, coalesce((bar_us - pu) / 1000000 > 5, false) as is_gap_start from g""",
     "win03_prior_levels": f"with {S1} select source, instrument, bar_us, " + ", ".join(f"{f}(mid) over ({W} range between {s}000000 preceding and 1 preceding) as prior_{n}_{s}s" for s in (60, 300, 900, 3600) for n, f in (("high", "max"), ("low", "min"))) + " from s",
     "win04_reset_average": f"""with {S1}, a as (select *, bar_us - lag(bar_us) over ({W}) as age, cast(floor(bar_us / 86400000000) as bigint) as day, floor((bar_us % 86400000000) / 3600000000) as h from s),
@@ -63,10 +63,10 @@ k as (select *, {_SESSION} as session from a), r as (select *, sum(case when age
 select source, instrument, bar_us, session, {qz('(mid / (sum(mid * tick_count) over v / sum(tick_count) over v) - 1) * 10000', 4)} as distance_bps from r window v as (partition by source, instrument, day, session, run order by bar_us rows unbounded preceding)""",
     "win05_session_range": f"""with {B5}, x as (select *, floor(bar_us / 86400000000) as day, floor((bar_us % 86400000000) / 3600000000) as h from b), r as (select source, instrument, day, max(high) as rh, min(low) as rl from x where h < 8 group by all)
 select x.source, x.instrument, x.bar_us, case when h >= 8 then rh end as range_high, case when h >= 8 then rl end as range_low from x left join r using (source, instrument, day)""",
-    "win06_bar_trend": f"""with {B5}, s as (select *, close - lag(close) over ({W}) as step from b),
-t as (select *, first_value(open) over f as fo, first_value(close) over f as fc, sum(abs(step)) over f - coalesce(abs(first_value(step) over f), 0) as dist, max(high) over p as prior_high, min(low) over p as prior_low
+    "win06_bar_trend": f"""with {B5}, s as (select *, close - lag(close) over ({W}) as step, coalesce(pow(close / lag(close) over ({W}) - 1, 2), 0) as sq from b),
+t as (select *, case when count(*) over f > 1 then sqrt(greatest(sum(sq) over f - first_value(sq) over f, 0) / (count(*) over f - 1)) else 0 end as vol, first_value(open) over f as fo, first_value(close) over f as fc, sum(abs(step)) over f - coalesce(abs(first_value(step) over f), 0) as dist, max(high) over p as prior_high, min(low) over p as prior_low
   from s window f as ({W} range between 3600000000 preceding and current row), p as ({W} range between 3600000000 preceding and 1000000 preceding))
-select source, instrument, bar_us, {qz('close / fo - 1')} as trend_return, {qz('coalesce(abs(close - fc) / nullif(dist, 0), 0)')} as efficiency, prior_high, prior_low from t""",
+select source, instrument, bar_us, {qz('close / fo - 1')} as trend_return, {qz('coalesce(abs(close - fc) / nullif(dist, 0), 0)')} as efficiency, {qz('vol')} as volatility, prior_high, prior_low from t""",
     "win07_segments": f"with {S1}, a as (select *, bar_us - lag(bar_us) over ({W}) as age from s) select source, instrument, bar_us, cast(sum(case when age > 30000000 then 1 else 0 end) over ({W} rows unbounded preceding) as bigint) as segment from a",
     "win08_episode_starts": f"with {_STATE} select * from e",
     "win11_atr": f"""with {B5}, p as (select *, lag(close) over ({W}) as pc from b), t as (select *, case when pc is not null then greatest(high - low, abs(high - pc), abs(low - pc)) end as tr from p)

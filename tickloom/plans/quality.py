@@ -168,13 +168,18 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The whole grid with its prices: where the cubic shows."""
+    return _grid(spark, d).withColumn("bid", quantized("bid")).withColumn("ask", quantized("ask"))
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
     ticks = load(spark, d, "market_ticks").select("source", "instrument", us("occurred_at").alias("us"), "id", "bid", "ask")
     sessions = load(spark, d, "feed_sessions").select("source", "batch_no", "instrument", us("opened_at").alias("opened_us"), us("closed_at").alias("closed_us"))
     return grid.regular_grid(ticks, sessions)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_grid(spark, d).where("status <> 'observed'").select("source", "instrument", "slot_start_us").distinct()
+    return _grid(spark, d).where("status <> 'observed'").select("source", "instrument", "slot_start_us").distinct()
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_flags, p4_found, p4_changelog, p4_hourly, p5_found, p6_found, p6_records, p7_found, p7_grid)}

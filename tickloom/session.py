@@ -69,6 +69,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class SharedFiles:
+    """Small files of any file system the session knows, by the Hadoop API: what a local path is for one machine, these are for a cluster."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.sc = spark.sparkContext
+
+    def _at(self, path: str | Path):
+        p = self.sc._jvm.org.apache.hadoop.fs.Path(str(path))
+        return p.getFileSystem(self.sc._jsc.hadoopConfiguration()), p
+
+    def exists(self, path: str | Path) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p)
+
+    def read(self, path: str | Path) -> bytes:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return bytes(self.sc._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def write(self, path: str | Path, data: bytes) -> None:
+        """Writes beside the path and renames, so that readers see the old or the new file."""
+        fs, p = self._at(path)
+        draft = self._at(f"{path}.{uuid.uuid4().hex}.partial")[1]
+        stream = fs.create(draft, True)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        fs.delete(p, False)
+        if not fs.rename(draft, p):
+            raise OSError(f"could not write {path}")
+
+    def rename(self, old: str | Path, new: str | Path) -> None:
+        (fs, a), (_, b) = self._at(old), self._at(new)
+        fs.mkdirs(b.getParent())
+        if not fs.rename(a, b):
+            raise OSError(f"could not rename {old}")
+
+    def delete(self, path: str | Path) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)
+
+
 def us(column: str | Column) -> Column:
     """Microseconds since the epoch of a timestamp column, with or without time zone."""
     return F.unix_micros((F.col(column) if isinstance(column, str) else column).cast("timestamp"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.session import SharedFiles, written
 
 
 def _digest(value: object) -> str:
@@ -25,38 +27,69 @@ def dataset_id(prefix: str, sources: list[str], config: dict) -> str:
 def publish(build: Callable[[], DataFrame], root: str | Path, prefix: str, sources: list[str], config: dict, partition_by: list[str] | None = None, **flags: object) -> dict:
     """Writes a dataset under its id and returns its manifest; an existing one is returned unbuilt.
 
-    Data goes to <id>.partial and is renamed when whole; a failure leaves nothing behind. flags (such as labels_included) go into the manifest.
+    Data goes to <id>.partial and is renamed when whole; a failure leaves nothing behind. flags (such as labels_included) go into the manifest. The root may be
+    on any file system of the session.
     """
     name = dataset_id(prefix, sources, config)
-    home = Path(root) / name
-    if (home / "manifest.json").exists():
-        return json.loads((home / "manifest.json").read_text())
-    staging = Path(root) / f"{name}.partial"
-    shutil.rmtree(staging, ignore_errors=True)
+    spark = SparkSession.active()
+    files, home, staging = SharedFiles(spark), f"{root}/{name}", f"{root}/{name}.partial"
+    if files.exists(f"{home}/manifest.json"):
+        return json.loads(files.read(f"{home}/manifest.json"))
+    files.delete(staging)
     try:
         df = build()
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(str(staging / "data"))
-        rows = df.sparkSession.read.parquet(str(staging / "data")).count()
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{staging}/data")
+        rows = spark.read.parquet(f"{staging}/data").count()
         manifest = {"dataset_id": name, "sources": sorted(sources), "config": config, "columns": df.columns, "rows": rows, "data": "data", **flags}
-        (staging / "manifest.json").write_text(json.dumps(manifest, indent=2, sort_keys=True, default=str))
-        os.replace(staging, home)
+        files.write(f"{staging}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True, default=str).encode())
+        files.rename(staging, home)
         return manifest
     except BaseException:
-        shutil.rmtree(staging, ignore_errors=True)
+        files.delete(staging)
         raise
 
 
+def publish_episodes(features: Callable[[], DataFrame], labels: Callable[[], DataFrame], root: str | Path, sources: list[str], config: dict) -> tuple[dict, dict]:
+    """Features and labels of episodes as two datasets, so that what is known at the time and what comes after never share a file."""
+    return publish(features, root, "episode-features", sources, config, labels_included=False), publish(labels, root, "episode-labels", sources, config, labels_included=True)
+
+
+def publish_outcomes(build: Callable[[int], DataFrame], horizons: list[int], root: str | Path, sources: list[str], config: dict) -> dict:
+    """Outcomes of several horizons as one dataset with a folder per horizon_s."""
+
+    def whole() -> DataFrame:
+        parts = [build(h).withColumn("horizon_s", F.lit(h)) for h in horizons]
+        return reduce(DataFrame.unionByName, parts)
+
+    return publish(whole, root, "outcomes", sources, config | {"horizons": horizons}, ["horizon_s"], labels_included=True)
+
+
 def open_dataset(spark: SparkSession, root: str | Path, manifest: dict, **required: object) -> DataFrame:
     """The data of a manifest, after its flags are as required; a path that leaves the dataset's folder is refused."""
     for flag, value in required.items():
         if manifest.get(flag) != value:
             raise ValueError(f"{manifest['dataset_id']}: {flag} must be {value}")
-    home = (Path(root) / manifest["dataset_id"]).resolve()
-    data = (home / manifest["data"]).resolve()
-    if home not in data.parents:
+    if ".." in Path(manifest["data"]).parts or Path(manifest["data"]).is_absolute():
         raise ValueError("dataset path leaves its folder")
-    return spark.read.parquet(str(data))
+    return spark.read.parquet(f"{root}/{manifest['dataset_id']}/{manifest['data']}")
+
+
+def archive_payload(spark: SparkSession, root: str | Path, source: str, received_us: int, payload: bytes) -> str:
+    """A raw payload under its day and hash, with a manifest beside it; the same payload again changes nothing."""
+    digest = hashlib.sha256(payload).hexdigest()
+    day = datetime.fromtimestamp(received_us / 1e6, timezone.utc).strftime("%Y/%m/%d")
+    path, files = f"{root}/{source}/{day}/{digest[:16]}.json", SharedFiles(spark)
+    if not files.exists(f"{path}.manifest"):
+        files.write(path, payload)
+        files.write(f"{path}.manifest", json.dumps({"source": source, "received_us": received_us, "sha256": digest, "bytes": len(payload)}, sort_keys=True).encode())
+    return path
+
+
+def prunable(snapshots: DataFrame) -> DataFrame:
+    """snapshots (name, path, rows, size) with keep: of each name the one with most rows, then the largest, then the last path. What isn't kept may go."""
+    best = snapshots.groupBy("name").agg(F.max(F.struct("rows", "size", "path")).alias("_b")).select("name", F.col("_b.path").alias("_p"))
+    return snapshots.join(best, "name").withColumn("keep", F.col("path") == F.col("_p")).drop("_p")
 
 
 class Registry:
@@ -97,20 +130,25 @@ class Registry:
         return record
 
 
-def append_new(batch: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends the rows whose keys the table doesn't hold yet, one per key; returns how many. Safe to repeat with the same batch."""
+def append_new(batch: DataFrame, path: str, keys: list[str], day: str | None = None) -> int:
+    """Appends the rows whose keys the table doesn't hold yet, one per key; returns how many. Safe to repeat with the same batch, for one writer at a time.
+
+    With day (a column that goes with the keys, such as the event's date) the table is partitioned by it and only the days of the batch are read. Null keys equal each other.
+    """
     spark = batch.sparkSession
     fresh = batch.dropDuplicates(keys)
-    try:
-        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    except Exception as problem:  # noqa: BLE001 - the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
-    fresh = fresh.cache()
+    if SharedFiles(spark).exists(path):
+        known = spark.read.parquet(path)
+        if day:
+            days = [r[0] for r in batch.select(day).distinct().limit(367).collect()]
+            known = known.where(F.col(day).isin(days)) if len(days) <= 366 and None not in days else known
+        on = [F.col(f"f.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]
+        fresh = fresh.alias("f").join(known.select(*keys).alias("k"), on, "left_anti")
+    fresh = written(fresh)
     n = fresh.count()
     if n:
-        fresh.write.mode("append").parquet(path)
-    fresh.unpersist()
+        writer = fresh.write.mode("append")
+        (writer.partitionBy(day) if day else writer).parquet(path)
     return n
 
 

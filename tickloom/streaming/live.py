@@ -29,44 +29,54 @@ def without_repeats(rows: DataFrame, keys: list[str], event_time: str, late: str
     return rows.withWatermark(event_time, late).dropDuplicatesWithinWatermark(keys)
 
 
-CHANGES = "table_key string, period_start_us long, version long, op int, n long, total double"
-STATE = "periods map<long,struct<version:long,n:long,total:double>>"
+CHANGES = "table_key string, period_start_us long, version long, op int, n long, total double, low double, high double"
+STATE = "periods map<long,struct<version:long,n:long,total:double,low:double,high:double>>"
 
 
-def late_changes(rows: DataFrame, period_us: int = 300_000_000, lateness_us: int = 1_200_000_000) -> DataFrame:
+def late_changes(rows: DataFrame, period_us: int = 300_000_000, lateness_us: int = 1_200_000_000, disorder: str = "1 hour") -> DataFrame:
     """The streaming retraction flow: table_key, event_us, arrived_us, value in; -1 and +1 changes of the periods' aggregates out.
 
-    State is keyed by (table_key, hour of the event), so that a hot key is spread over its hours, and holds a version, a count and a sum per
-    period. A batch's rows of a period make one version. Rows past the cut-off give a change with op 0. State of an hour goes when
-    nothing has come for it in the lateness after its end plus a day of processing time.
+    State is keyed by (table_key, hour of the event), so that a hot key is spread over its hours, and holds a version, a count, a sum and the extremes per
+    period. A batch's rows of a period make one version; they are folded as they come, never held together. Rows past the cut-off give a change with op 0. The watermark is on
+    the arrival, which may be out of order by `disorder`: state of an hour goes when no row could still come in time, so none is ever counted afresh.
     """
-    hour = F.floor(F.col("event_us") / 3_600_000_000).cast("long").alias("hour")
+    hour_us = 3_600_000_000
+    hour = F.floor(F.col("event_us") / hour_us).cast("long").alias("hour")
+
+    def fold(into: dict, pdf: pd.DataFrame) -> None:
+        for period, part in pdf.groupby("period")["value"].agg(["size", "sum", "min", "max"]).iterrows():
+            n, total, low, high = into.get(period, (0, 0.0, float("inf"), float("-inf")))
+            into[period] = (n + int(part["size"]), total + float(part["sum"]), min(low, float(part["min"])), max(high, float(part["max"])))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = dict(state.get[0]) if state.exists else {}
-        out = []
-        pdf = pd.concat(list(batches))
-        pdf = pdf.assign(period=(pdf["event_us"] // period_us) * period_us)
-        refused = pdf["arrived_us"] >= pdf["period"] + period_us + lateness_us
-        for period, part in pdf[refused].groupby("period"):
-            out.append((key[0], int(period), -1, 0, len(part), float(part["value"].sum())))
-        for period, part in pdf[~refused].groupby("period"):
-            old = held.get(int(period))
-            version, n, total = (old["version"] if isinstance(old, dict) else old[0], old["n"] if isinstance(old, dict) else old[1], old["total"] if isinstance(old, dict) else old[2]) if old is not None else (-1, 0, 0.0)
-            if old is not None:
-                out.append((key[0], int(period), version + 1, -1, n, total))
-            n, total = n + len(part), total + float(part["value"].sum())
-            out.append((key[0], int(period), version + 1, 1, n, total))
-            held[int(period)] = (version + 1, n, total)
+        held = {int(k): tuple(v.values()) if isinstance(v, dict) else tuple(v) for k, v in dict(state.get[0]).items()} if state.exists else {}
+        fresh: dict[int, tuple] = {}
+        refused: dict[int, tuple] = {}
+        for pdf in batches:
+            pdf = pdf.assign(period=(pdf["event_us"] // period_us) * period_us)
+            late = pdf["arrived_us"] >= pdf["period"] + period_us + lateness_us
+            fold(refused, pdf[late])
+            fold(fresh, pdf[~late])
+        out = [(key[0], int(p), -1, 0, *v) for p, v in refused.items()]
+        for period, (n, total, low, high) in fresh.items():
+            period = int(period)
+            version = -1
+            if period in held:
+                version, *old = held[period]
+                out.append((key[0], period, version + 1, -1, *old))
+                n, total, low, high = n + old[0], total + old[1], min(low, old[2]), max(high, old[3])
+            out.append((key[0], period, version + 1, 1, n, total, low, high))
+            held[period] = (version + 1, n, total, low, high)
         state.update((held,))
-        state.setTimeoutDuration(86_400_000 + lateness_us // 1000)
-        yield pd.DataFrame(out, columns=["table_key", "period_start_us", "version", "op", "n", "total"])
+        due = ((int(key[1]) + 1) * hour_us + period_us + lateness_us) // 1000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["table_key", "period_start_us", "version", "op", "n", "total", "low", "high"])
 
-    keyed = rows.where("event_us is not null and arrived_us is not null").select("table_key", "event_us", "arrived_us", F.coalesce("value", F.lit(0.0)).alias("value"), hour)
-    return keyed.groupBy("table_key", "hour").applyInPandasWithState(update, CHANGES, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = rows.where("event_us is not null and arrived_us is not null").select("table_key", "event_us", "arrived_us", F.coalesce("value", F.lit(0.0)).alias("value"), hour, F.timestamp_micros("arrived_us").alias("arrived"))
+    return keyed.withWatermark("arrived", disorder).groupBy("table_key", "hour").applyInPandasWithState(update, CHANGES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_cooldown(rows: DataFrame, key: str, t: str, wait_us: int) -> DataFrame:
