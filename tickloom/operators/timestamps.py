@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 from pathlib import Path
+from re import _parser
 from zoneinfo import TZPATH, ZoneInfo
 
 import numpy as np
@@ -33,6 +34,10 @@ TIME = r"(?:(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,](?P<f>9{1,9}))?)?|(?P<ch>99
 ZONE = r"(?:(?P<zulu>a)| (?P<half>aa)|(?: (?P<half2>aa))? ?(?P<sign>[+-])(?P<oh>99)(?::?(?P<om>99))?|(?: (?P<half3>aa))? (?P<abbr>aa{2,4}))?"
 SHAPE = re.compile(rf"{DATE}(?P<t> |a|, ){TIME}{ZONE}")
 EPOCH = re.compile(r"(?P<whole>9{10}|9{13}|9{16}|9{19}|9)(?:\.(?P<part>9{1,9}))?")
+# The longest text that any shape of the grammar fits.
+LONGEST = max(_parser.parse(p.pattern).getwidth()[1] for p in (SHAPE, EPOCH))
+# Zone tables hold the transitions of these years; a wall time outside them is no instant.
+YEARS = (1900, 2200)
 # A day's length and an epoch's unit by its number of digits, in microseconds (19 digits: nanoseconds).
 DAY_US = 86_400_000_000
 
@@ -53,7 +58,8 @@ class ZoneTable:
         a, b = (wall - self.offset_at(zone, wall + s * DAY_US) for s in (-1, 1))
         ok_a, ok_b = (u + self.offset_at(zone, u) == wall for u in (a, b))
         one, two = np.where(ok_a, a, b), np.where(ok_b, b, a)
-        return np.minimum(one, two), np.maximum(one, two), ok_a | ok_b
+        inside = (wall >= _year_us(YEARS[0])) & (wall < _year_us(YEARS[1]))
+        return np.minimum(one, two), np.maximum(one, two), (ok_a | ok_b) & inside
 
 
 def database_version() -> str:
@@ -69,13 +75,18 @@ def database_version() -> str:
         return "unknown"
 
 
+def _year_us(year: int) -> int:
+    return (datetime(year, 1, 1) - datetime(1970, 1, 1)).days * DAY_US
+
+
 @lru_cache(maxsize=1024)
 def _transitions(zone: str) -> tuple[np.ndarray, np.ndarray]:
-    """Transitions from 1970 to 2060, found by weekly samples that are then halved to the second."""
+    """Transitions in YEARS (and two days around them), found by weekly samples that are then halved to the second."""
     z, origin = ZoneInfo(zone), datetime(1970, 1, 1, tzinfo=timezone.utc)
     offset = lambda s: int((origin + timedelta(seconds=s)).astimezone(z).utcoffset().total_seconds())
-    starts, offsets, week, at = [], [offset(0)], 7 * 86_400, 0
-    while at < 90 * 366 * 86_400:
+    at, end = (_year_us(y) // 1_000_000 + d * 172_800 for y, d in zip(YEARS, (-1, 1)))
+    starts, offsets, week = [], [offset(at)], 7 * 86_400
+    while at < end:
         lo, hi, last = at, at + week, offsets[-1]
         if offset(hi) != last:
             while hi - lo > 1:
@@ -83,9 +94,7 @@ def _transitions(zone: str) -> tuple[np.ndarray, np.ndarray]:
                 lo, hi = (mid, hi) if offset(mid) == last else (lo, mid)
             starts.append(hi * 1_000_000)
             offsets.append(offset(hi))
-            at = hi
-        else:
-            at = hi
+        at = hi
     return np.array(starts, np.int64), np.array(offsets, np.int64) * 1_000_000
 
 
@@ -208,7 +217,7 @@ class Parser:
 
 @lru_cache(maxsize=100_000)
 def parser_for(shape: str) -> Parser | None:
-    parser = Parser(shape) if len(shape) <= 64 else None
+    parser = Parser(shape) if len(shape) <= LONGEST else None
     return parser or None
 
 
@@ -252,5 +261,5 @@ def parse_texts(rows: DataFrame, table: ZoneTable) -> DataFrame:
     """
     clean = F.regexp_replace("text", r'^[\s\p{Z}"\x{FEFF}]+|[\s\p{Z}"\x{FEFF}]+\z', "")
     convert = converter(table)
-    out = rows.withColumn("_clean", clean).where(F.length("_clean").between(1, 64))
+    out = rows.withColumn("_clean", clean).where(F.length("_clean").between(1, LONGEST))
     return out.withColumn("_c", convert("_clean", shape_of(F.col("_clean")), "zone", "shift_hours", "month_first")).withColumn("lo", F.col("_c.lo")).withColumn("hi", F.col("_c.hi")).drop("_c", "_clean")

@@ -353,18 +353,21 @@ def str12_appended(spark, d):
 _VALID = "bid > 0 and ask > 0 and bid < 'inf'::double and ask < 'inf'::double"
 _K = "('0x' || substr(md5(event_key), 1, 2))::int"
 _RECORDER = _FIELDS6.replace("from recorder_lines)", "from recorder_lines where line is not null)").replace("select line_id, file_name, line_no,", "select line_id, file_name, row_number() over (partition by file_name order by line_no, line_id) as line_no,", 1)
+# New York's clock goes back on the second of November 2025
+_SPANS = """lc as (select epoch_us(d) + 64800000000 as al, epoch_us(d) + 147600000000 as zl from range(timestamp '2025-10-13', timestamp '2025-11-13', interval 1 day) r(d) where dayofweek(d) <= 4),
+cal as (select al + case when al < epoch_us(timestamp '2025-11-02 02:00:00') then 14400000000 else 18000000000 end as a, zl + case when zl < epoch_us(timestamp '2025-11-02 02:00:00') then 14400000000 else 18000000000 end as z from lc)"""
 _PARTS = "p as (select epoch_us(occurred_at) as us, id, bid, ask, cast(floor(epoch_us(occurred_at) / 21600000000) as bigint) as part from market_ticks where occurred_at is not null and bid > 0 and ask >= bid), n as (select part, row_number() over (order by part) - 1 as n from (select distinct part from p)), k as (select p.*, n.n from p join n using (part))"
 
 ORACLE = {
-    "src01_tick_files": f"select epoch_us(occurred_at) as us, coalesce(nullif(instrument, ''), 'none') as instrument, coalesce(nullif(source, ''), 'none') as source, coalesce(source_sequence, '') as source_sequence, bid, ask, concat_ws(',', case when not coalesce({_VALID}, false) then 'price' end, case when ask < bid then 'crossed' end) as errors from market_ticks where occurred_at is not null",
+    "src01_tick_files": f"select epoch_us(occurred_at) as us, coalesce(nullif(instrument, ''), 'none') as instrument, coalesce(nullif(source, ''), 'none') as source, coalesce(trim(source_sequence), '') as source_sequence, bid, ask, concat_ws(',', case when not coalesce({_VALID}, false) then 'price' end, case when ask < bid then 'crossed' end) as errors from market_ticks where occurred_at is not null",
     "src02_date_time_files": f"select cast(floor(epoch_us(occurred_at) / 1000) as bigint) * 1000 as us, coalesce(instrument, 'none') as instrument, coalesce(source, 'none') as source, {qz('bid')} as bid, {qz('ask')} as ask from market_ticks where occurred_at is not null and bid > 0 and ask >= bid and {_VALID}",
     "src03_history": "select instrument, strftime(occurred_at, '%Y-%m-%d') as day, count(*) as n, max(epoch_us(occurred_at)) as last_us, max(bid) as high from market_ticks where occurred_at is not null and bid > 0 and ask >= bid and bid < 1e9 and ask < 1e9 and source is not null and instrument is not null group by all",
     "src04_order_report": "with x as (select epoch_us(occurred_at) - lag(epoch_us(occurred_at)) over w as g, bid = lag(bid) over w and ask = lag(ask) over w as same from market_ticks where occurred_at is not null and bid > 0 and ask >= bid and source is not null and instrument is not null window w as (partition by source, instrument order by id)) select count(*) as rows, count(*) filter (where g < 0) as out_of_order, count(*) filter (where g = 0 and same) as duplicates, count(*) filter (where g > 60000000) as gaps, max(g) as longest_gap_us from x",
     "src09_sides": "with o as (select epoch_us(occurred_at) as us, arg_max(bid, id) as bid, arg_max(ask, id) as ask from market_ticks where occurred_at is not null and bid > 0 and ask >= bid group by 1) select us, case when us % 7 <> 0 then bid end as bid, ask, case when us % 7 = 0 then 'missing_side' end as problem from o",
     "src11_batches": f"with {_PARTS} select 'b' || lpad(cast(n as varchar), 5, '0') || '.manifest.json' as name, part * 21600000000 as start_us, (part + 1) * 21600000000 as end_us, count(*) + case when n % 10 = 2 then 1 else 0 end as rows, case n % 10 when 2 then 'rows' when 4 then 'checksum' when 6 then 'contract' end as problem from k group by n, part",
     "src12_ingest": f"with {_PARTS} select us, id, bid, ask from k where n % 10 not in (2, 4, 6) and us >= (select min(part) from n) * 21600000000 + 3600000000 and us < (select max(part) + 1 from n) * 21600000000 - 3600000000",
-    "src16_trades": f"""with {T} select ticket, 'S' || symbol as symbol, case when ticket % 97 = 0 then null when side > 0 then 'buy' else 'sell' end as side, case when ticket % 89 = 0 then 0.0 else volume end as volume, opened as opened_us, case when ticket % 83 = 0 then opened - 86400000000 else closed end as closed_us,
-  volume * 1000 + 0.5 as entry_price, {qz('net', 3)} as net, (case when ticket % 83 = 0 then -86400000000 else closed - opened end) / 1000000 as duration_s, concat_ws(',', case when ticket % 97 = 0 then 'side' end, case when ticket % 89 = 0 then 'volume' end, case when ticket % 83 = 0 then 'order' end) as errors from trades""",
+    "src16_trades": f"""with {T}, one as (select * from trades qualify row_number() over (partition by ticket order by abs(net) desc) = 1) select ticket, 'S' || symbol as symbol, case when ticket % 97 = 0 then null when side > 0 then 'buy' else 'sell' end as side, case when ticket % 89 = 0 then 0.0 else volume end as volume, opened as opened_us, case when ticket % 83 = 0 then opened - 86400000000 else closed end as closed_us,
+  volume * 1000 + 0.5 as entry_price, {qz('net', 3)} as net, (case when ticket % 83 = 0 then -86400000000 else closed - opened end) / 1000000 as duration_s, concat_ws(',', case when ticket % 97 = 0 then 'side' end, case when ticket % 89 = 0 then 'volume' end, case when ticket % 83 = 0 then 'order' end) as errors from one""",
     "src20_account_history": f"""with {T}, k as (select *, case when ticket % 11 = 0 then 'cash' when ticket % 13 = 0 then 'other' else 'trades' end as kind from trades)
 select kind, count(*) as n, {qz("case when kind = 'other' then 0.0 else sum(net) end", 2)} as total, case when kind <> 'other' then min(opened) end as first_us from k group by kind""",
     "src22_recorder_files": _RECORDER + "select file_name, line_no, record_type, symbol, coalesce(reason, '') as reason from judged",
@@ -380,6 +383,10 @@ select event_key as event_id, f as event_family, r as released_us, concat_ws(','
     "agg37_macro_coverage": f"""with n as (select event_key, min(epoch_us(occurred_at)) as t, {_K} as k from news_events where occurred_at is not null group by event_key)
 select count(*) filter (where k % 7 <> 0) as events, count(distinct floor(t / 86400000000)) filter (where k % 7 <> 0) as release_dates, count(*) filter (where k % 7 <> 0 and k % 2 = 0) as cpi, count(*) filter (where k % 7 <> 0 and k % 2 = 1) as employment_situation, bool_and(k % 7 <> 0) as valid,
   bool_and(k % 7 <> 0) and count(*) filter (where k % 7 <> 0) >= 20 and least(count(*) filter (where k % 7 <> 0 and k % 2 = 0), count(*) filter (where k % 7 <> 0 and k % 2 = 1)) >= 8 as enough from n""",
+    "src35_calendar_file": f"with {_SPANS} select a as open_us, z as close_us from cal",
+    "join21_calendar": f"""with {B5}, {_SPANS}, p as (select distinct instrument, bar_us as x, bar_us + 300000000 as y from b),
+j as (select p.*, case when x < epoch_us(timestamp '2025-10-14 04:00:00') or y > epoch_us(timestamp '2025-11-12 05:00:00') then 'out_of_range' when x < 1761667200000000 and y > 1761652800000000 then 'closed' when exists (select 1 from cal where a <= x and y <= z) then 'open' else 'closed' end as market from p)
+select instrument, market, count(*) as n, min(x) as first_us from j group by instrument, market""",
     "src38_ledger": "select envelope_id, kind, source, schema_version from event_envelopes",
     "src28_snapshots": "select 2 as files, 1 as contents, cast(2 * sum(length(n_nationkey || ',' || n_name) + 1) as bigint) as bytes from nation",
     "snk01_published": f"with {B5} select * from b",

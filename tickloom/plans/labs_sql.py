@@ -170,10 +170,10 @@ select m.*, max_volume, max_tickets from m join c using (account)"""
 
 def _metrics40() -> str:
     head, tail = _SIM08.rsplit("\nselect source", 1)
-    return f"""{head}, bt as (select source{tail}), p as (select *, net_bps / 10 as pnl, sum(net_bps / 10) over w as eq from bt window w as (partition by source, instrument order by opened_us rows unbounded preceding)),
-k as (select *, greatest(0.0, max(eq) over (partition by source, instrument order by opened_us rows unbounded preceding)) as peak from p),
-g as (select source, instrument, count(*) as n, sum(pnl) as total, max((peak - eq) / (10000 + peak) * 100) as dd, avg(case when pnl > 0 then 1.0 else 0.0 end) as w, sum(case when pnl > 0 then pnl else 0 end) / nullif(sum(case when pnl < 0 then -pnl else 0 end), 0) as f, avg(pnl) as m from k group by source, instrument)
-select source, instrument, n, {qz('total + 10000', 3)} as equity, {qz('dd', 5)} as drawdown_pct, {qz('w', 5)} as win_rate, {qz('f', 4)} as profit_factor, {qz('m', 4)} as expectancy, {qz('total / 100 / nullif(dd, 0)', 3)} as return_over_drawdown from g"""
+    return f"""{head}, bt as (select source{tail}), bp as (select *, net_bps / 10 as pnl, sum(net_bps / 10) over w as eq from bt window w as (partition by source, instrument order by opened_us rows unbounded preceding)),
+bk as (select *, greatest(0.0, max(eq) over (partition by source, instrument order by opened_us rows unbounded preceding)) as peak from bp),
+bg as (select source, instrument, count(*) as n, sum(pnl) as total, max((peak - eq) / (10000 + peak) * 100) as dd, avg(case when pnl > 0 then 1.0 else 0.0 end) as w, sum(case when pnl > 0 then pnl else 0 end) / nullif(sum(case when pnl < 0 then -pnl else 0 end), 0) as f, avg(pnl) as m from bk group by source, instrument)
+select source, instrument, n, {qz('total + 10000', 3)} as equity, {qz('dd', 5)} as drawdown_pct, {qz('w', 5)} as win_rate, {qz('f', 4)} as profit_factor, {qz('m', 4)} as expectancy, {qz('total / 100 / nullif(dd, 0)', 3)} as return_over_drawdown from bg"""
 
 
 def statements() -> dict[str, str]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import grid, late, rowparse, spikes, timestamps, upsert
 from tickloom.operators.metrics import quantized
-from tickloom.session import cut, fits_broadcast, held, load, us
+from tickloom.operators.quantiles import quantiles_of
+from tickloom.session import cut, fits_broadcast, held, load, us, written
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -25,8 +28,8 @@ def _clock(df: DataFrame, sources: DataFrame, key: str) -> DataFrame:
 
 
 def _zone_table(sources: DataFrame) -> timestamps.ZoneTable:
-    """The zone names in use: at most the few hundred that the zone database has."""
-    names = [r[0] for r in sources.select("clock_zone").where("clock_zone is not null").distinct().limit(2000).collect()]
+    """The zone names in use, as far as the zone database knows them: no more than it has."""
+    names = [r[0] for r in sources.select("clock_zone").where(F.col("clock_zone").isin(*sorted(available_timezones()))).distinct().collect()]
     return timestamps.zone_table([*names, "UTC"])
 
 
@@ -64,6 +67,15 @@ def _tick_choice(twice: DataFrame, certain: DataFrame, ticks: DataFrame, session
     return full.select("id", F.when(later, F.col("hi")).otherwise(F.col("lo")).alias("utc_us"))
 
 
+def p1_conversions(spark: SparkSession, d: str) -> DataFrame:
+    """Time texts of each table and field: how many there are, how many denote an instant, and the version of the zone table that converted them."""
+    table = _zone_table(load(spark, d, "feed_sources"))
+    found = p1_found(spark, d).groupBy("table_name", "field").agg(F.count(F.lit(1)).alias("converted"))
+    n = lambda t, f, c: load(spark, d, t).agg(F.lit(t).alias("table_name"), F.lit(f).alias("field"), F.count(c).alias("texts"))
+    texts = n("market_ticks", "occurred_at", "occurred_at_text").unionByName(n("recorder_rows", "received_utc", "received_utc")).unionByName(n("recorder_rows", "server_time", "server_time"))
+    return texts.join(found, ["table_name", "field"], "left").na.fill(0, ["converted"]).withColumn("zone_version", F.lit(table.version))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     ticks, sources, recorder = load(spark, d, "market_ticks"), load(spark, d, "feed_sources"), load(spark, d, "recorder_rows")
     table = _zone_table(sources)
@@ -84,7 +96,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     certain, twice = parsed.where("lo = hi"), parsed.where("lo < hi")
     # the row's other time first; else the session's clock, by its monotonic reading
     own = certain.groupBy("record_id").agg(F.max("lo").alias("own"))
-    clock = certain.where("session_id is not null").groupBy("server", "session_id").agg(F.percentile_approx(F.col("lo") - F.col("monotonic_ms") * 1000, 0.5).alias("base"), F.percentile_approx("lo", 0.5).alias("middle"))
+    of = ["server", "session_id"]
+    near = written(certain.join(_small(twice.where("session_id is not null and server is not null").select(*of).distinct()), of, "left_semi").select(*of, "lo", (F.col("lo") - F.col("monotonic_ms") * 1000).alias("base")))
+    clock = quantiles_of(near, of, "lo", {"middle": 0.5}).drop("_n").join(quantiles_of(near, of, "base", {"base": 0.5}).drop("_n"), of, "left")
     guess = F.coalesce(F.col("own"), F.col("base") + F.col("monotonic_ms") * 1000, F.col("middle"))
     fitted = twice.join(own, "record_id", "left").join(clock, ["server", "session_id"], "left")
     later = F.coalesce(F.abs(F.col("hi") - guess) < F.abs(F.col("lo") - guess), F.lit(False))
@@ -126,7 +140,7 @@ def _changes(spark: SparkSession, d: str, slot_us: int) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    changes = _changes(spark, d, 300_000_000).where("verdict <> 'on_time'")
+    changes = _changes(spark, d, 60_000_000).where("verdict <> 'on_time'")
     return changes.select(*P4_KEYS[:1], "source", "series", "period_start_us", "verdict").distinct()
 
 
@@ -182,4 +196,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d).where("status <> 'observed'").select("source", "instrument", "slot_start_us").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_flags, p4_found, p4_changelog, p4_hourly, p5_found, p6_found, p6_records, p7_found, p7_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversions, p2_found, p2_flags, p4_found, p4_changelog, p4_hourly, p5_found, p6_found, p6_records, p7_found, p7_grid)}
