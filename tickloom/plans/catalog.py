@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import exchange, labs, labs_sql, market, market_sql, quality, quality_sql, research, sequence_lab, trades
+from tickloom.plans import candidates, exchange, labs, labs_sql, market, market_sql, quality, quality_sql, research, sequence_lab, trades
 
-MODULES = [quality, market, trades, labs, exchange, research, sequence_lab]
-SQL_MODULES = [quality_sql, market_sql, trades, labs, labs_sql, exchange, research, sequence_lab]
+MODULES = [quality, market, trades, labs, exchange, research, sequence_lab, candidates]
+SQL_MODULES = [quality_sql, market_sql, trades, labs, labs_sql, exchange, research, sequence_lab, candidates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
