@@ -96,19 +96,14 @@ def entries(starts: DataFrame, bars: DataFrame, config: SequenceConfig = Sequenc
     return first.select(*SERIES, "start_us", "level", "policy", "direction", F.col("m.bar_us").alias("signal_us"), F.col("m.x").alias("x"))
 
 
-def exits(entered: DataFrame, bars: DataFrame, config: SequenceConfig = SequenceConfig()) -> DataFrame:
-    """(SERIES, start_us, policy, direction, horizon_s, style, entered_us, exited_us, gross_bps, net_bps, holding_s) of entries whose horizon ends on their path.
-
-    entered: entries() with an executable quote x; bars: SERIES, bar_us, open_us, open_bid, open_ask, mid, x. The end is the first later bar that opens a horizon after the entry, without a gap between. style time
-    ends there; structural_or_time at the first bar back across the level, trailing_or_time at the first one trail_bps below its best since trail_from_bps were reached, if an executable quote follows no later than the end.
-    """
+def ends(entered: DataFrame, bars: DataFrame, config: SequenceConfig = SequenceConfig()) -> DataFrame:
+    """(SERIES, start_us, policy, direction, horizon_s, style, e, q): the closing quote q of each entry e at each horizon and by each style; see exits(). entered: SERIES, start_us, level, policy, direction, x."""
     c = config
     reach = max(c.horizons_s) * SECOND + c.gap_us + SECOND
     held = entered.where("x is not null").select(*SERIES, "start_us", "level", "policy", "direction", F.col("x").alias("e"), F.col("x.bar").alias("e_bar"), (F.col("x.bar") + reach).alias("until_us"))
     path = between(bars.select(*SERIES, "bar_us", "open_us", "open_bid", "open_ask", "mid", "x"), held, SERIES, "bar_us", "e_bar", "until_us", 600 * SECOND)
     keys = [*SERIES, "start_us", "policy", "direction"]
-    every = Window.partitionBy(*keys)
-    w = every.orderBy("bar_us")
+    w = Window.partitionBy(*keys).orderBy("bar_us")
     rows = path.withColumn("_gap", F.coalesce(F.col("bar_us") - F.lag("bar_us").over(w) > c.gap_us, F.lit(False)).cast("int")).withColumn("_cut", F.max("_gap").over(w)).where("_cut = 0 and bar_us > e_bar")
     long, mid = F.col("direction") > 0, (F.col("e.bid") + F.col("e.ask")) / 2
     rows = rows.withColumn("gross", (F.when(long, F.col("mid") / mid).otherwise(mid / F.col("mid")) - 1) * 10_000).withColumn("best", F.max("gross").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -120,13 +115,69 @@ def exits(entered: DataFrame, bars: DataFrame, config: SequenceConfig = Sequence
     good = rows.where((F.col("final.us") - F.col("due") <= c.gap_us) & (F.col("bar_us") <= F.col("final.bar")))
     usable = F.col("x").isNotNull() & (F.col("x.bar") <= F.col("final.bar"))
     early = lambda test: F.min(F.when(test & usable, F.struct("bar_us", "x")))["x"]
-    ends = good.groupBy(*keys, "horizon_s").agg(F.first("e").alias("e"), F.first("final").alias("final"), early(crossed).alias("structural"), early(trailed).alias("trailing"))
+    found = good.groupBy(*keys, "horizon_s").agg(F.first("e").alias("e"), F.first("final").alias("final"), early(crossed).alias("structural"), early(trailed).alias("trailing"))
     styles = F.explode(F.array(*[F.struct(F.lit(n).alias("style"), q.alias("q")) for n, q in (("time", F.col("final")), ("structural_or_time", F.coalesce("structural", "final")), ("trailing_or_time", F.coalesce("trailing", "final")))])).alias("s")
-    out = ends.select(*keys, "horizon_s", "e", styles).select(*keys, "horizon_s", "e", "s.style", "s.q")
-    s, xmid = c.slippage_bps / 10_000, (F.col("q.bid") + F.col("q.ask")) / 2
-    gross = (F.when(long, xmid / mid).otherwise(mid / xmid) - 1) * 10_000
+    return found.select(*keys, "horizon_s", "e", styles).select(*keys, "horizon_s", "e", "s.style", "s.q")
+
+
+def exits(entered: DataFrame, bars: DataFrame, config: SequenceConfig = SequenceConfig()) -> DataFrame:
+    """(SERIES, start_us, policy, direction, horizon_s, style, entered_us, exited_us, gross_bps, net_bps, holding_s) of entries whose horizon ends on their path.
+
+    entered: entries() with an executable quote x; bars: SERIES, bar_us, open_us, open_bid, open_ask, mid, x. The end is the first later bar that opens a horizon after the entry, without a gap between. style time
+    ends there; structural_or_time at the first bar back across the level, trailing_or_time at the first one trail_bps below its best since trail_from_bps were reached, if an executable quote follows no later than the end.
+    """
+    keys = [*SERIES, "start_us", "policy", "direction"]
+    s, long = config.slippage_bps / 10_000, F.col("direction") > 0
     net = (F.when(long, F.col("q.bid") * (1 - s) / (F.col("e.ask") * (1 + s))).otherwise(F.col("e.bid") * (1 - s) / (F.col("q.ask") * (1 + s))) - 1) * 10_000
-    return out.select(*keys, "horizon_s", "style", F.col("e.us").alias("entered_us"), F.col("q.us").alias("exited_us"), gross.alias("gross_bps"), net.alias("net_bps"), ((F.col("q.us") - F.col("e.us")) / SECOND).alias("holding_s"))
+    return ends(entered, bars, config).select(*keys, "horizon_s", "style", F.col("e.us").alias("entered_us"), F.col("q.us").alias("exited_us"), _gross().alias("gross_bps"), net.alias("net_bps"), ((F.col("q.us") - F.col("e.us")) / SECOND).alias("holding_s"))
+
+
+def _gross() -> Column:
+    mid, xmid = (F.col("e.bid") + F.col("e.ask")) / 2, (F.col("q.bid") + F.col("q.ask")) / 2
+    return (F.when(F.col("direction") > 0, xmid / mid).otherwise(mid / xmid) - 1) * 10_000
+
+
+def pressure_events(starts: DataFrame, bars: DataFrame, config: SequenceConfig, delay_s: int = 5, wait_s: int = 5, least_bps: float = 0.25, spacing_us: int = 3660 * SECOND) -> DataFrame:
+    """(SERIES, start_us, side, signal_us, pressure, activity, spread, horizon_s, style, filled, gross_bps, net_bps) of episodes with pressure behind them, at market and by a passive limit.
+
+    starts: SERIES, bar_us, side; bars: SERIES, bar_us, open_us, open_bid, open_ask, mid, spread_bps, return_5s, tick_intensity_ratio, x. The signal is the first bar delay_s after the start; its 5-s return in the
+    side's direction must reach least_bps, and such events are spaced_us apart. market enters at the signal's executable quote; passive_limit at the signal's own bid (ask for shorts) at the first bar within
+    wait_s whose other side trades through it, without slippage. Without a fill or an end on the path filled is false and the results are 0.
+    """
+    c = config
+    spans = starts.select(*SERIES, F.col("bar_us").alias("start_us"), (F.col("bar_us") + (delay_s + wait_s) * SECOND + 2 * c.gap_us).alias("until_us"), "side")
+    path = between(bars.select(*SERIES, "bar_us", "open_us", "open_bid", "open_ask", "spread_bps", "return_5s", "tick_intensity_ratio", "x"), spans, SERIES, "bar_us", "start_us", "until_us", 600 * SECOND)
+    every = Window.partitionBy(*SERIES, "start_us")
+    w = every.orderBy("bar_us")
+    rows = path.withColumn("_gap", F.coalesce(F.col("bar_us") - F.lag("bar_us").over(w) > c.gap_us, F.lit(False)).cast("int")).withColumn("_cut", F.max("_gap").over(w)).where("_cut = 0 and bar_us > start_us")
+    due = F.col("start_us") + delay_s * SECOND
+    rows = rows.withColumn("signal", F.min(F.when(F.col("bar_us") >= due, F.struct("bar_us", "open_us", "open_bid", "open_ask", "spread_bps", "return_5s", "tick_intensity_ratio", "x"))).over(every)).where(F.col("signal.bar_us") - due <= c.gap_us)
+    after = F.col("signal.open_us") + wait_s * SECOND
+    rows = rows.withColumn("_end", F.min(F.when((F.col("bar_us") > F.col("signal.bar_us")) & (F.col("open_us") >= after), F.struct("open_us", "bar_us"))).over(every))
+    waiting = (F.col("bar_us") > F.col("signal.bar_us")) & (F.col("_end.open_us") - after <= c.gap_us) & (F.col("bar_us") <= F.col("_end.bar_us"))
+    through = F.when(F.col("side") > 0, F.col("open_ask") < F.col("signal.open_bid")).otherwise(F.col("open_bid") > F.col("signal.open_ask"))
+    quote = F.struct(F.col("open_us").alias("us"), F.col("open_bid").alias("bid"), F.col("open_ask").alias("ask"), F.col("bar_us").alias("bar"))
+    one = rows.groupBy(*SERIES, "start_us", "side").agg(F.first("signal").alias("signal"), F.min(F.when(waiting & through, quote)).alias("passive"))
+    pressure = F.coalesce(F.col("signal.return_5s"), F.lit(0.0)) * F.col("side") * 10_000
+    ready = one.withColumn("pressure", pressure).where(F.col("pressure") >= least_bps)
+    events = written(cooldown(ready, SERIES, "start_us", ["start_us"], spacing_us))
+    ways = F.explode(F.array(F.struct(F.lit("market").alias("style"), F.col("signal.x").alias("x")), F.struct(F.lit("passive_limit").alias("style"), F.col("passive").alias("x")))).alias("way")
+    tried = events.select(*SERIES, "start_us", "side", "signal", "pressure", ways).select(*SERIES, "start_us", "side", "signal", "pressure", "way.style", "way.x")
+    closed = ends(tried.select(*SERIES, "start_us", F.lit(0.0).alias("level"), F.col("style").alias("policy"), F.col("side").alias("direction"), "x"), bars, c).where("style = 'time'").select(*SERIES, "start_us", F.col("policy").alias("style"), "direction", "horizon_s", "e", "q")
+    every_h = tried.withColumn("horizon_s", F.explode(F.array(*[F.lit(h) for h in c.horizons_s]))).join(closed, [*SERIES, "start_us", "style", "horizon_s"], "left")
+    s, long, passive = c.slippage_bps / 10_000, F.col("side") > 0, F.col("style") == "passive_limit"
+    paid = F.when(long, F.when(passive, F.col("signal.open_bid")).otherwise(F.col("e.ask") * (1 + s))).otherwise(F.when(passive, F.col("signal.open_ask")).otherwise(F.col("e.bid") * (1 - s)))
+    net = (F.when(long, F.col("q.bid") * (1 - s) / paid).otherwise(paid / (F.col("q.ask") * (1 + s))) - 1) * 10_000
+    filled = F.col("q").isNotNull()
+    zero = lambda v: F.when(filled, v).otherwise(0.0)
+    return every_h.select(*SERIES, "start_us", "side", F.col("signal.bar_us").alias("signal_us"), "pressure", F.col("signal.tick_intensity_ratio").alias("activity"), F.col("signal.spread_bps").alias("spread"), "horizon_s", "style", filled.alias("filled"), zero(_gross()).alias("gross_bps"), zero(net).alias("net_bps"))
+
+
+def matching(events: DataFrame, pressures: tuple[float, ...], activities: tuple[float, ...], spreads: tuple[float, ...]) -> DataFrame:
+    """Filled events once for each combination of thresholds they pass (candidate): pressure and activity at least, spread at most. The grid is fixed and small, so each event is spread where it lies."""
+    grid = F.array(*[F.struct(F.lit(f"p{p:g}_a{a:g}_s{s:g}").alias("candidate"), F.lit(float(p)).alias("p"), F.lit(float(a)).alias("a"), F.lit(float(s)).alias("s")) for p in pressures for a in activities for s in spreads])
+    passed = F.filter(grid, lambda g: (F.col("pressure") >= g["p"]) & (F.col("activity") >= g["a"]) & (F.col("spread") <= g["s"]))
+    return events.where("filled").withColumn("_g", F.explode(passed)).withColumn("candidate", F.concat_ws("_", "style", F.concat(F.lit("h"), F.col("horizon_s").cast("string")), "_g.candidate")).drop("_g")
 
 
 def policy_report(trades: DataFrame, counts: DataFrame, eligible: DataFrame, keys: list[str], family: int = 63) -> DataFrame:

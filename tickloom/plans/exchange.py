@@ -122,6 +122,51 @@ def src16_trades(spark, d):
     return got.select(F.col("ticket").cast("long").alias("ticket"), "symbol", "side", "volume", "opened_us", "closed_us", "entry_price", quantized("net", 3).alias("net"), "duration_s", F.array_join("errors", ",").alias("errors"))
 
 
+def src19_copy_trades(spark, d):
+    """Trades as one provider's file with offset times, some rows spoilt, read back with a verdict a row."""
+    out, t = _folder(spark), trades(spark, d)
+    at = lambda c: F.date_format(F.timestamp_micros(F.col(c) + 7_200_000_000), "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
+    t.select(F.lit("p1").alias("provider_id"), at("opened").alias("opened_at"), F.when(F.col("ticket") % 71 == 0, "soon").otherwise(at("closed")).alias("closed_at"), F.col("ticket").cast("string").alias("symbol"), F.when(F.col("ticket") % 73 == 0, "hold").when(F.col("side") > 0, "Buy").otherwise("sell").alias("side"), "volume", F.col("net").alias("net_profit")).write.option("header", True).csv(out)
+    got = files.read_copy_trades(spark, f"{out}/*.csv")
+    return got.select(F.col("symbol").cast("long").alias("ticket"), "opened_us", "closed_us", "side", "volume", quantized("net_profit", 3).alias("net"), F.array_join("errors", ",").alias("errors"))
+
+
+def src14_archive(spark, d):
+    """The sound batches archived twice by day of their start: what is in the archive."""
+    root, archive = _batches(spark, d), _folder(spark)
+    found = written(files.discover_batches(spark, root, MADE_UP))
+    files.archive_batches(spark, root, found, archive)
+    paths = files.archive_batches(spark, root, found, archive)
+    return spark.createDataFrame([(p.removeprefix(f"{archive}/").rsplit("/", 1)[0], p.rsplit("/", 1)[1]) for p in paths], "day string, name string")
+
+
+def join27_prefixes(spark, d):
+    """Recorder files against a snapshot of their first lines, two of whose files were changed."""
+    live, old = _recorder_files(spark, d), _folder(spark)
+    rows = files.numbered_lines(spark, f"{live}/*/*.txt").withColumn("file_name", F.regexp_extract("file", r"file_name=([^/]*)/", 1))
+    n = F.max("file_line").over(Window.partitionBy("file_name"))
+    half = rows.withColumn("n", n).where(F.col("file_line") <= F.floor(F.col("n") / 2)).withColumn("value", F.when(F.col("file_line") % 50 == 7, F.concat("line", F.lit("x"))).otherwise(F.col("line")))
+    half.repartition("file_name").sortWithinPartitions("file_name", "file_line").select("file_name", "value").write.partitionBy("file_name").text(old)
+    got = files.prefix_differences(spark, f"{old}/*/*.txt", f"{live}/*/*.txt")
+    return got.withColumn("name", F.regexp_extract("name", "file_name=(.*)", 1))
+
+
+def str06_standing(spark, d):
+    """Orders as signals, those of one priority invalidated twice: what stands, by priority."""
+    path = f"{_folder(spark)}/events"
+    signals = load(spark, d, "orders").select(F.col("o_orderkey").alias("signal_id"), "o_orderpriority")
+    wrong = signals.where(F.col("o_orderpriority").startswith("3"))
+    sinks.invalidate(wrong, path, "wrong priority")
+    again = sinks.invalidate(wrong, path, "once more")
+    return sinks.standing(signals, path).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.lit(again).cast("long").alias("again"))
+
+
+def str13_health(spark, d):
+    """Each source's feed as it stood at one instant."""
+    rows = load(spark, d, "market_ticks").where("source is not null").select("source", us("received_at").alias("t"))
+    return sinks.health(rows, ["source"], "t", 1_762_900_000_000_000, 600)
+
+
 def src20_account_history(spark, d):
     """An account history with repeated column names at UTC+2: trades, cash flows and other orders counted and added up."""
     out = _folder(spark)
@@ -368,6 +413,11 @@ ORACLE = {
     "src12_ingest": f"with {_PARTS} select us, id, bid, ask from k where n % 10 not in (2, 4, 6) and us >= (select min(part) from n) * 21600000000 + 3600000000 and us < (select max(part) + 1 from n) * 21600000000 - 3600000000",
     "src16_trades": f"""with {T}, one as (select * from trades qualify row_number() over (partition by ticket order by abs(net) desc) = 1) select ticket, 'S' || symbol as symbol, case when ticket % 97 = 0 then null when side > 0 then 'buy' else 'sell' end as side, case when ticket % 89 = 0 then 0.0 else volume end as volume, opened as opened_us, case when ticket % 83 = 0 then opened - 86400000000 else closed end as closed_us,
   volume * 1000 + 0.5 as entry_price, {qz('net', 3)} as net, (case when ticket % 83 = 0 then -86400000000 else closed - opened end) / 1000000 as duration_s, concat_ws(',', case when ticket % 97 = 0 then 'side' end, case when ticket % 89 = 0 then 'volume' end, case when ticket % 83 = 0 then 'order' end) as errors from one""",
+    "src19_copy_trades": f"""with {T} select ticket, opened as opened_us, case when ticket % 71 <> 0 then closed end as closed_us, case when ticket % 73 = 0 then 'hold' when side > 0 then 'buy' else 'sell' end as side, volume, {qz('net', 3)} as net, concat_ws(',', case when ticket % 71 = 0 then 'times' end, case when ticket % 73 = 0 then 'side' end) as errors from trades""",
+    "src14_archive": f"with {_PARTS} select strftime(make_timestamp(part * 21600000000), '%Y/%m/%d') as day, 'b' || lpad(cast(n as varchar), 5, '0') || '.manifest.json' as name from n where n % 10 not in (2, 4, 6)",
+    "join27_prefixes": "with l as (select file_name, row_number() over (partition by file_name order by line_no, line_id) as k, count(*) over (partition by file_name) as n from recorder_lines where line is not null) select file_name as name, count(*) as lines, 0 as missing, count(*) filter (where k % 50 = 7) as different from l where k <= floor(n / 2) group by file_name",
+    "str06_standing": "select o_orderpriority, count(*) as n, 0 as again from orders where o_orderpriority not like '3%' group by 1",
+    "str13_health": "with x as (select source, count(*) as rows, max(epoch_us(received_at)) as latest_us from market_ticks where source is not null group by source) select *, greatest((1762900000000000 - latest_us) / 1000000, 0) as age_s, case when latest_us is null then 'empty' when (1762900000000000 - latest_us) / 1000000 > 600 then 'stale' else 'healthy' end as status from x",
     "src20_account_history": f"""with {T}, k as (select *, case when ticket % 11 = 0 then 'cash' when ticket % 13 = 0 then 'other' else 'trades' end as kind from trades)
 select kind, count(*) as n, {qz("case when kind = 'other' then 0.0 else sum(net) end", 2)} as total, case when kind <> 'other' then min(opened) end as first_us from k group by kind""",
     "src22_recorder_files": _RECORDER + "select file_name, line_no, record_type, symbol, coalesce(reason, '') as reason from judged",
@@ -402,7 +452,7 @@ f(source, us, nxt) as (select source, min(us), min_by(nxt, us) from nx group by
     "str12_appended": "select distinct lower(trim(idempotency_key)) as key from event_envelopes where trim(idempotency_key) <> ''",
 }
 NAMES = (
-    src01_tick_files, src02_date_time_files, src03_history, src04_order_report, src09_sides, src11_batches, src12_ingest, src16_trades, src20_account_history, src22_recorder_files, src22_last_seen, src23_curated_quotes, src26_quote_counters, src27_new_lines, src28_snapshots, src30_news_payloads, src31_series, src32_macro_calendar, src35_calendar_file, src38_ledger,
+    src01_tick_files, src02_date_time_files, src03_history, src04_order_report, src09_sides, src11_batches, src12_ingest, src16_trades, src14_archive, src19_copy_trades, join27_prefixes, str06_standing, str13_health, src20_account_history, src22_recorder_files, src22_last_seen, src23_curated_quotes, src26_quote_counters, src27_new_lines, src28_snapshots, src30_news_payloads, src31_series, src32_macro_calendar, src35_calendar_file, src38_ledger,
     snk01_published, snk02_outcomes, snk07_curated, snk09_inserted, snk12_registry, snk13_prunable, agg37_macro_coverage, join21_calendar, str03_live_bars, str05_late_changes, str09_live_cooldown, str12_appended,
 )
 QUERIES = {f.__name__: f for f in NAMES}

@@ -75,6 +75,36 @@ def lab03_sequences(spark, d):
     return out.select("policy", "horizon_s", "style", "trades", "folds", "good_folds", "months", "good_months", "triggers", "signals", *[quantized(c, 3).alias(c) for c in ("mean_gross", "mean_cost", "mean_net", "mean_net_1_5x", "mean_net_2x", "low_normal", "win_rate", "profit_factor", "mean_holding_s", "best_month_share", "abstention", "policy_abstention", "rejection")])
 
 
+def _pressure(spark, d) -> DataFrame:
+    b = written(seconds(spark, d))
+    f = windows.second_features(b).select(*S, "bar_us", "return_5s", "tick_intensity_ratio")
+    bars = written(sequences.executable(b, LOOSE).withColumn("spread_bps", (F.col("ask") - F.col("bid")) / F.col("mid") * 10_000).join(f, [*S, "bar_us"]))
+    levels = windows.prior_levels(b.select(*S, "bar_us", "mid"), "bar_us", "mid", (300,)).withColumn("side", windows.breakout("mid", "prior_high_300s", "prior_low_300s", 1.0))
+    return sequences.pressure_events(windows.episode_starts(levels.select(*S, "bar_us", "side"), "bar_us", "side", 60 * SECOND), bars, LOOSE, wait_s=30)
+
+
+def sim17_pressure_events(spark, d):
+    """Breakouts with pressure behind them, at market and by a passive limit, at three horizons."""
+    rows = _pressure(spark, d)
+    return rows.select(*S, "start_us", "side", "signal_us", quantized("pressure", 6).alias("pressure"), quantized("activity", 6).alias("activity"), "horizon_s", "style", "filled", quantized("gross_bps", 4).alias("gross_bps"), quantized("net_bps", 4).alias("net_bps"))
+
+
+GRID = ((0.25, 0.5, 1.0, 2.0), (0.0, 1.0, 1.5), (2.0, 4.0, 8.0))
+
+
+def lab10_quote_pressure(spark, d):
+    """Nested walk-forward: of each fold's training events the thresholds, style and horizon with the best mean among those with ten events, and what they make of the test events."""
+    from tickloom.operators.research import select_best
+
+    rows = written(sequences.matching(_pressure(spark, d), *GRID).withColumn("bar_us", F.col("signal_us")).withColumn("net", quantized("net_bps", 4)))
+    parts = metrics.folds(spark, START, END, FOLDS)
+    part = lambda a, z: asof.between(rows.withColumn("_one", F.lit(1)), parts.select("fold", us(a).alias("_a"), (us(z) - 1).alias("_z"), F.lit(1).alias("_one")), ["_one"], "bar_us", "_a", "_z", 86_400 * SECOND)
+    mean = quantized(quantized(F.sum("net"), 4) / F.count(F.lit(1)), 4)
+    best = select_best(part("train_start", "train_end").groupBy("fold", "candidate").agg(F.count(F.lit(1)).alias("n"), mean.alias("mean")), ["fold"], "candidate", "mean", "n", 10)
+    test = part("test_start", "test_end").groupBy("fold", "candidate").agg(F.count(F.lit(1)).alias("test_n"), mean.alias("test_mean"))
+    return best.join(test, ["fold", "candidate"], "left").select("fold", "candidate", "n", "mean", F.coalesce("test_n", F.lit(0)).alias("test_n"), "test_mean")
+
+
 _K = "source, instrument, start_us"
 _FO = """fo as (select k + 1 as fold, a, a + 3 * 86400000000 as z from (select k, epoch_us(timestamp '2025-10-12') + (10 + 3 * k) * 86400000000 + 300000000 + 3 * 86400000000 + 300000000 as a from range(0, 20) r(k)) where a + 3 * 86400000000 <= epoch_us(timestamp '2025-11-16'))"""
 _BASE = f"""{S1}, {FEATURES}, {_FO}, sg0 as (select *, bar_us - lag(bar_us) over ({W}) as age from s), sg as materialized (select *, (ask - bid) / mid * 10000 as spread, sum(case when age > 60000000 then 1 else 0 end) over ({W} rows unbounded preceding) as seg from sg0),
@@ -123,4 +153,33 @@ ct as (select policy, count(*) as triggers, count(*) filter (where x_us < test_e
 select policy, h as horizon_s, style, trades, folds, good_folds, months, good_months, triggers, signals, {qz('a', 3)} as mean_gross, {qz('b', 3)} as mean_cost, {qz('c', 3)} as mean_net, {qz('d', 3)} as mean_net_1_5x, {qz('e', 3)} as mean_net_2x, {qz('low', 3)} as low_normal, {qz('w', 3)} as win_rate, {qz('f', 3)} as profit_factor, {qz('hold', 3)} as mean_holding_s, {qz('share', 3)} as best_month_share,
   {qz('1 - signals / al', 3)} as abstention, {qz('1 - triggers / al', 3)} as policy_abstention, {qz('1 - signals / triggers', 3)} as rejection from ow join bo using (policy, h, style) join bm using (policy, h, style) join ct using (policy) cross join el""",
 }
-QUERIES = {f.__name__: f for f in (sim03_entries, sim04_exits, sim05_episodes, lab03_sequences)}
+_BX = _BASE[: _BASE.index("lv as (select")]
+_PRESSURE = f"""{_BX}
+lw as (select source, instrument, bar_us, mid, max(mid) over r as hi, min(mid) over r as lo from s window r as ({W} range between 300000000 preceding and 1 preceding)), ls as (select source, instrument, bar_us, case when (mid / hi - 1) * 10000 >= 1 then 1 when (lo / mid - 1) * 10000 >= 1 then -1 else 0 end as side from lw),
+pb as (select source, instrument, bar_us as start_us, side from (select *, lag(side) over ({W}) as ps, lag(bar_us) over ({W}) as pt from ls) where side <> 0 and (pt is null or bar_us - pt > 60000000 or side <> ps)),
+h0 as (select pb.*, bx.bar_us, bx.open_us, bx.open_bid, bx.open_ask, bx.x_us, bx.x_bid, bx.x_ask, bx.x_bar, bx.spread, fe.r5, fe.intensity from pb join bx on bx.source = pb.source and bx.instrument = pb.instrument and bx.bar_us > start_us and bx.bar_us <= start_us + 155000000 and bx.seg = (select seg from sg where sg.source = pb.source and sg.instrument = pb.instrument and sg.bar_us = start_us)
+  join fe on fe.source = bx.source and fe.instrument = bx.instrument and fe.bar_us = bx.bar_us),
+h1 as (select *, min(bar_us) filter (where bar_us >= start_us + 5000000) over (partition by source, instrument, start_us) as sb from h0),
+h2 as (select *, {", ".join(f"max({c}) filter (where bar_us = sb) over (partition by source, instrument, start_us) as g_{c}" for c in ("open_us", "open_bid", "open_ask", "spread", "r5", "intensity", "x_us", "x_bid", "x_ask", "x_bar"))} from h1 where sb - start_us - 5000000 <= 60000000),
+h3 as (select *, min(open_us) filter (where bar_us > sb and open_us >= g_open_us + 30000000) over (partition by source, instrument, start_us) as end_us from h2),
+h4 as (select source, instrument, start_us, side, sb, any_value(g_open_bid) as lb, any_value(g_open_ask) as la, any_value(g_spread) as spread, any_value(g_intensity) as activity, coalesce(any_value(g_r5), 0) * side * 10000 as pressure, any_value(g_x_us) as x_us, any_value(g_x_bid) as x_bid, any_value(g_x_ask) as x_ask, any_value(g_x_bar) as x_bar,
+  {", ".join(f"arg_min({c}, bar_us) filter (where bar_us > sb and end_us - g_open_us - 30000000 <= 60000000 and open_us <= end_us and case when side > 0 then open_ask < g_open_bid else open_bid > g_open_ask end) as p_{c}" for c in ("open_us", "open_bid", "open_ask", "bar_us"))} from h3 group by source, instrument, start_us, side, sb),
+h5 as (select *, row_number() over (partition by source, instrument order by start_us) as i from h4 where pressure >= 0.25), hc(source, instrument, i, last, keep) as (select source, instrument, i, start_us, true from h5 where i = 1
+  union all select o.source, o.instrument, o.i, case when o.start_us >= hc.last + 3660000000 then o.start_us else hc.last end, o.start_us >= hc.last + 3660000000 from hc join h5 o on o.source = hc.source and o.instrument = hc.instrument and o.i = hc.i + 1),
+h6 as materialized (select h5.* from h5 join hc using (source, instrument, i) where keep),
+h7 as materialized (select source, instrument, start_us, side, sb, lb, la, spread, activity, pressure, 'market' as style, x_us as e_us, x_bid as e_bid, x_ask as e_ask, x_bar as e_bar from h6 union all select source, instrument, start_us, side, sb, lb, la, spread, activity, pressure, 'passive_limit', p_open_us, p_open_bid, p_open_ask, p_bar_us from h6),
+h8 as (select h7.source, h7.instrument, h7.start_us, h7.style, h, min(b.open_us) as q_us, arg_min(b.open_bid, b.open_us) as q_bid, arg_min(b.open_ask, b.open_us) as q_ask from h7 cross join (values (60), (300), (900)) v(h) join bx b on b.source = h7.source and b.instrument = h7.instrument and b.bar_us > e_bar and b.bar_us <= e_bar + 961000000 and b.open_us >= e_us + h * 1000000
+  and b.seg = (select seg from sg where sg.source = h7.source and sg.instrument = h7.instrument and sg.bar_us = h7.e_bar) where e_us is not null group by all),
+h9 as (select h7.*, v.h, case when q_us - (e_us + v.h * 1000000) <= 60000000 then q_us end as q_us, q_bid, q_ask from h7 cross join (values (60), (300), (900)) v(h) left join h8 on h8.source = h7.source and h8.instrument = h7.instrument and h8.start_us = h7.start_us and h8.style = h7.style and h8.h = v.h),
+pv as materialized (select *, q_us is not null as filled, case when q_us is not null then (case when side > 0 then (q_bid + q_ask) / (e_bid + e_ask) else (e_bid + e_ask) / (q_bid + q_ask) end - 1) * 10000 else 0 end as g,
+  case when q_us is not null then (case when side > 0 then q_bid * 0.99995 / (case when style = 'market' then e_ask * 1.00005 else lb end) else (case when style = 'market' then e_bid * 0.99995 else la end) / (q_ask * 1.00005) end - 1) * 10000 else 0 end as n from h9)"""
+ORACLE |= {
+    "sim17_pressure_events": f"with recursive {_PRESSURE} select source, instrument, start_us, side, sb as signal_us, {qz('pressure', 6)} as pressure, {qz('activity', 6)} as activity, h as horizon_s, style, filled, {qz('g', 4)} as gross_bps, {qz('n', 4)} as net_bps from pv",
+    "lab10_quote_pressure": f"""with recursive {_PRESSURE}, gd as (select * from (values {", ".join(f"('p{p:g}', {p}::double)" for p in GRID[0])}) a(pn, p) cross join (values {", ".join(f"('a{a:g}', {a}::double)" for a in GRID[1])}) b(an, a) cross join (values {", ".join(f"('s{x:g}', {x}::double)" for x in GRID[2])}) c(sn, sx)),
+mt as (select pv.sb, style || '_h' || h || '_' || pn || '_' || an || '_' || sn as candidate, {qz('n', 4)} as net from pv join gd on pressure >= p and activity >= a and spread <= sx where filled),
+fp as (select k + 1 as fold, epoch_us(timestamp '2025-10-12') as ta, epoch_us(timestamp '2025-10-12') + (10 + 3 * k) * 86400000000 as tz from range(0, 20) r(k)),
+tn as (select fold, candidate, count(*) as n, {qz('(' + qz('sum(net)', 4) + ') / count(*)', 4)} as mean from mt join fp on sb >= ta and sb < tz group by all), bs as (select *, row_number() over (partition by fold order by mean desc, candidate) as k from tn where n >= 10 and fold in (select fold from fo)),
+ts as (select fold, candidate, count(*) as test_n, {qz('(' + qz('sum(net)', 4) + ') / count(*)', 4)} as test_mean from mt join fo on sb >= a and sb < z group by all)
+select cast(bs.fold as integer) as fold, bs.candidate, n, mean, coalesce(test_n, 0) as test_n, test_mean from bs left join ts using (fold, candidate) where k = 1""",
+}
+QUERIES = {f.__name__: f for f in (sim17_pressure_events, lab10_quote_pressure, sim03_entries, sim04_exits, sim05_episodes, lab03_sequences)}

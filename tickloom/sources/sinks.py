@@ -152,6 +152,26 @@ def append_new(batch: DataFrame, path: str, keys: list[str], day: str | None = N
     return n
 
 
+def invalidate(signals: DataFrame, events: str, reason: str) -> int:
+    """Appends an invalidation for each signal id that has none; nothing is ever deleted. A blank reason raises. Returns how many were new."""
+    if not reason.strip():
+        raise ValueError("an invalidation needs a reason")
+    return append_new(signals.select("signal_id").withColumn("reason", F.lit(reason.strip())), events, ["signal_id"])
+
+
+def standing(signals: DataFrame, events: str) -> DataFrame:
+    """The signals without an invalidation."""
+    spark = signals.sparkSession
+    return signals.join(spark.read.parquet(events).select("signal_id").distinct(), "signal_id", "left_anti") if SharedFiles(spark).exists(events) else signals
+
+
+def health(rows: DataFrame, keys: list[str], t: str, now_us: int, stale_s: int = 120) -> DataFrame:
+    """(keys, rows, latest_us, age_s, status) of a feed: its last row's age against now, stale beyond stale_s, empty without any time."""
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.max(t).alias("latest_us"))
+    age = F.greatest((F.lit(now_us) - F.col("latest_us")) / 1_000_000, F.lit(0.0))
+    return out.select(*keys, "rows", "latest_us", age.alias("age_s"), F.when(F.col("latest_us").isNull(), "empty").when(age > stale_s, "stale").otherwise("healthy").alias("status"))
+
+
 def write_report(report: dict, root: str | Path, name: str) -> Path:
     """A JSON report beside its own hash."""
     path = Path(root) / f"{name}.json"
