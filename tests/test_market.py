@@ -187,7 +187,7 @@ def test_backtest_against_a_loop(spark, monkeypatch):
         b = round(b + rng.gauss(0, 0.05), 3)
         prices.append((n * 7 // 3, b))  # several ticks share a second
     q = quote_frame(spark, prices, 0.02).select("source", "instrument", "us", "id", "bid", "ask")
-    made = [(BASE + rng.randrange(-10, 2200) * S + rng.randrange(S), rng.choice([-1, 1, 1, 0]), rng.choice([0.1, 0.4, 3.0, 0.0]), rng.choice([0.2, 0.5, 4.0])) for _ in range(150)]
+    made = [(BASE + rng.randrange(-10, 2200) * S + rng.randrange(S), rng.choice([-1, 1, 1, 0]), rng.choice([0.1, 0.2, 0.4, 0.0]), rng.choice([0.1, 0.2, 0.5])) for _ in range(250)]
     i = spark.createDataFrame([("s", "X", *m) for m in made], "source string, instrument string, us long, side int, stop double, target double")
     ticks = [(BASE + t * S, n, p, p + 0.02) for n, (t, p) in enumerate(prices)]
     want, pending, position = [], sorted(made), None

@@ -17,7 +17,7 @@ BUCKET_US = 600_000_000
 SHARD_ROWS = 100_000
 HALO_ROWS = 2_000
 
-SCORE = 11.5  # standardised innovation; some sixteen usual moves
+SCORE = 14.0  # standardised innovation; some twenty usual moves
 MAX_RUN = 10  # quotes after which a move counts as one that stays
 STUCK_RUN = 20
 # what is usual for a quote: the moves within REACH quotes on both sides, and no less than the usual ones just before or after it

@@ -33,12 +33,13 @@ CHANGES = "table_key string, period_start_us long, version long, op int, n long,
 STATE = "periods map<long,struct<version:long,n:long,total:double,low:double,high:double>>"
 
 
-def late_changes(rows: DataFrame, period_us: int = 300_000_000, lateness_us: int = 1_200_000_000, disorder: str = "1 hour") -> DataFrame:
+def late_changes(rows: DataFrame, period_us: int = 300_000_000, lateness_us: int = 1_200_000_000, disorder: str = "35 days") -> DataFrame:
     """The streaming retraction flow: table_key, event_us, arrived_us, value in; -1 and +1 changes of the periods' aggregates out.
 
     State is keyed by (table_key, hour of the event), so that a hot key is spread over its hours, and holds a version, a count, a sum and the extremes per
     period. A batch's rows of a period make one version; they are folded as they come, never held together. Rows past the cut-off give a change with op 0. The watermark is on
-    the arrival, which may be out of order by `disorder`: state of an hour goes when no row could still come in time, so none is ever counted afresh.
+    the arrival: rows may be processed out of its order by `disorder` (files replayed in any order need their whole span, a live feed an hour), and state of an hour goes
+    when no row could still come in time, so none is ever counted afresh.
     """
     hour_us = 3_600_000_000
     hour = F.floor(F.col("event_us") / hour_us).cast("long").alias("hour")
