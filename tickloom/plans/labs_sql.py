@@ -62,8 +62,7 @@ r as (select variant, coalesce(lost, won) as reason, coalesce(case when lost is
 n as (select variant, reason, partial, case when partial then (h_value + value) / 2 else value end as net from r)
 select {summary('variant, reason, partial', 'net')} from n group by variant, reason, partial"""
 
-# ticks of a series with one row per instant, the greatest id
-_ONE = f"{Q}, u as materialized (select source, instrument, us, arg_max(bid, id) as bid, arg_max(ask, id) as ask from q group by all)"
+# u: ticks of a series with one row per instant, the greatest id
 _B5U = f"{B5}, u as materialized (select source, instrument, us, arg_max(bid, id) as bid, arg_max(ask, id) as ask from q group by all)"
 _SIGNALS = f"""{_B5U}, l as (select *, {", ".join(f"lag(close, {k}) over w as c{k}" for k in range(6))}, close - lag(close) over w as step, count(*) over w as k from b window w as ({W})),
 t as (select *, {' + '.join(f'c{k} * {(2 / 7) * (5 / 7) ** k if k < 5 else (5 / 7) ** 5!r}' for k in range(6))} as ema, close / first_value(open) over f - 1 as ret, abs(close - first_value(close) over f) as net, sum(abs(step)) over f - coalesce(abs(first_value(step) over f), 0) as dist
@@ -168,6 +167,34 @@ m as (select {summary('account', 'net', 3).replace(qz('avg(net)', 3), qz('(' + q
 select m.*, max_volume, max_tickets from m join c using (account)"""
 
 
+_LAB09 = f"""with recursive {S1}, {FEATURES}, f9 as (select source, instrument, bar_us, r1, r5, shock, intensity, abs(r5) as size from fe where r5 is not null),
+m9 as (select source, instrument, median(size) as m, count(*) as n from f9 group by all), a9 as (select source, instrument, m, n, median(abs(size - m)) as mad from f9 join m9 using (source, instrument) group by all),
+b9 as (select f9.*, row_number() over (partition by source, instrument order by bar_us) as i from f9 join a9 using (source, instrument) where n >= 30 and mad > 0 and size > m + 4.0 * 1.4826 * mad),
+c9(source, instrument, i, last, keep) as (select source, instrument, i, bar_us, true from b9 where i = 1 union all select o.source, o.instrument, o.i, case when o.bar_us >= c9.last + 300000000 then o.bar_us else c9.last end, o.bar_us >= c9.last + 300000000 from c9 join b9 o on o.source = c9.source and o.instrument = c9.instrument and o.i = c9.i + 1),
+h9 as materialized (select b9.*, cast(sign(r5) as integer) as side, {_COIN} as coin from b9 join c9 using (source, instrument, i) where keep),
+p9 as (select h9.source, h9.instrument, h9.bar_us as k, s.bar_us as z, s.open_us, s.open_bid, s.open_ask, s.bar_us - lag(s.bar_us) over (partition by h9.source, h9.instrument, h9.bar_us order by s.bar_us) as gap from h9 join s on s.source = h9.source and s.instrument = h9.instrument and s.bar_us between h9.bar_us and h9.bar_us + 364050000),
+q9 as (select *, max(case when gap > 60000000 then 1 else 0 end) over (partition by source, instrument, k order by z rows unbounded preceding) as cut from p9),
+e9 as (select *, min(open_us) filter (where open_us >= k + 1050000) over (partition by source, instrument, k) as e_us from q9 where cut = 0),
+x9 as (select source, instrument, k, arg_min(open_bid, open_us) filter (where open_us = e_us) as eb, arg_min(open_ask, open_us) filter (where open_us = e_us) as ea,
+  {", ".join(f"arg_min({c}, open_us) filter (where open_us - e_us between {h}000000 and {h + 30}000000) as {n}{h}" for h in (30, 60, 300) for c, n in (("open_bid", "b"), ("open_ask", "a")))} from e9 where e_us - (k + 1050000) <= 30000000 group by source, instrument, k),
+t9 as (select h9.*, eb, ea, b30, a30, b60, a60, b300, a300, case when shock <= 1.2 and r5 * coalesce(r1, 0) < 0 and abs(coalesce(r1, 0)) >= 0.25 * size then 'fade' when shock <= 1.2 and r5 * coalesce(r1, 0) > 0 and intensity >= 1 then 'continue' else 'abstain' end as action from h9 left join x9 on x9.source = h9.source and x9.instrument = h9.instrument and x9.k = h9.bar_us),
+w9 as (select instrument, size, action, eb, ea, unnest([{{'p': 'classified', 'd': case action when 'fade' then -side when 'continue' then side else 0 end}}, {{'p': 'fade_all', 'd': -side}}, {{'p': 'continue_all', 'd': side}}, {{'p': 'random_direction', 'd': coin}}]) as w, b30, a30, b60, a60, b300, a300 from t9),
+v9 as (select instrument, size, action, eb, ea, w.p as policy, w.d as d, unnest([{{'h': 30, 'b': b30, 'a': a30}}, {{'h': 60, 'b': b60, 'a': a60}}, {{'h': 300, 'b': b300, 'a': a300}}]) as x from w9),
+r9 as (select instrument, size, action, policy, x.h as h, case when d > 0 then (((x.b + x.a) / 2) / ((eb + ea) / 2) - 1) * 10000 when d < 0 then (((eb + ea) / 2) / ((x.b + x.a) / 2) - 1) * 10000 end as g, case when d > 0 then (x.b / ea - 1) * 10000 when d < 0 then (eb / x.a - 1) * 10000 end as n from v9)
+select instrument, action, policy, h as horizon_s, count(*) as n, {qz('avg(size) * 10000', 4)} as mean_size_bps, count(n) as trades, {qz('avg(g)', 4)} as mean_gross_bps, {qz('avg(n)', 4)} as mean_net_bps from r9 group by instrument, action, policy, h"""
+
+
+def _ridge(trades: str) -> str:
+    """Three standardised features: with the intercept apart the normal equations are three by three, solved by determinants."""
+    d = lambda c: "{0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6})".format(*c)
+    a = ["(aa + 1)", "ab", "ac", "ab", "(bb + 1)", "bc", "ac", "bc", "(cc + 1)"]
+    swap = lambda k: [("ya", "yb", "yc")[i // 3] if i % 3 == k else x for i, x in enumerate(a)]
+    return f"""with {trades}, x as (select symbol, net, volume * 1.0 as f1, (closed - opened) / 86400000000 as f2, side * 1.0 as f3 from trades), st as (select avg(f1) as m1, stddev_pop(f1) as s1, avg(f2) as m2, stddev_pop(f2) as s2, avg(f3) as m3, stddev_pop(f3) as s3, avg(net) as my from x),
+z as (select symbol, net, my, (f1 - m1) / s1 as a, (f2 - m2) / s2 as b, (f3 - m3) / s3 as c from x cross join st), g as (select sum(a * a) as aa, sum(a * b) as ab, sum(a * c) as ac, sum(b * b) as bb, sum(b * c) as bc, sum(c * c) as cc, sum(a * net) as ya, sum(b * net) as yb, sum(c * net) as yc from z),
+w as (select ({d(swap(0))}) / ({d(a)}) as w1, ({d(swap(1))}) / ({d(a)}) as w2, ({d(swap(2))}) / ({d(a)}) as w3 from g)
+select symbol, {qz('avg(my + a * w1 + b * w2 + c * w3)', 3)} as predicted, {qz('avg(net)', 3)} as actual from z cross join w group by symbol"""
+
+
 def _metrics40() -> str:
     head, tail = _SIM08.rsplit("\nselect source", 1)
     return f"""{head}, bt as (select source{tail}), bp as (select *, net_bps / 10 as pnl, sum(net_bps / 10) over w as eq from bt window w as (partition by source, instrument order by opened_us rows unbounded preceding)),
@@ -183,7 +210,9 @@ def statements() -> dict[str, str]:
         "lab01_baselines": _LAB01,
         "lab02_slices": _LAB02,
         "lab07_path_management": _LAB07,
+        "lab09_shocks": _LAB09,
         "lab11_staged": _LAB11,
+        "agg25_ridge": _ridge(T),
         "lab17_latency_replay": _LAB17,
         "lab22_signal_trades": f"with recursive {_SIGNALS} select * from sg",
         "lab24_due_diligence": _due(T),
