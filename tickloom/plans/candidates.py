@@ -56,6 +56,16 @@ def win12_states(spark, d):
     return rows.select("instrument", "bar_us", "trend", "rejection", *[quantized(c, 5).alias(c) for c in ("displacement", "far_return", "efficiency", "expansion")])
 
 
+def win17_shocks_288(spark, d):
+    """Shocks against the 288 bars before, on minute bars of each instrument."""
+    return windows.shocks(_minute_bars(spark, d), 288).select("instrument", "bar_us", quantized("bar_return", 9).alias("bar_return"), "side")
+
+
+def win19_sweeps_48(spark, d):
+    """Sweeps of the 48-bar range that close back inside, on minute bars of each instrument."""
+    return windows.sweeps(_minute_bars(spark, d), 48).select("instrument", "bar_us", "side")
+
+
 def _family_rows(spark, d) -> DataFrame:
     """(SERIES, bar_us, family, side, strength) at each rising edge of a family, 96 minutes apart from the last one taken."""
     none = F.lit(None).cast("int")
@@ -262,7 +272,11 @@ p1 as (select *, max(into_) filter (where rn = 1) over k as e_into, min(us) over
 p3 as (select *, move <= -12 or (us - e_us >= 15000000 and move <= -6) or us >= e_us + 300000000 as done from p2), p4 as (select source, instrument, start_us, arg_min(move, rn) as net from p3 where done group by all)
 select {summary('rule', 'net')} from ru join p4 using (source, instrument, start_us) group by rule"""
 
+_M1 = _STATES[: _STATES.index(",\n" + _ROLL("ra", STEPS[0]))]
 ORACLE = {
+    "win17_shocks_288": f"""with {_M1}, rr as (select *, close / lag(close) over ({_WI}) - 1 as ret, row_number() over ({_WI}) as i from m1), jj as (select a.instrument, a.i, a.bar_us, a.ret, median(abs(z.ret)) as m, count(z.ret) as n from rr a join rr z on a.instrument = z.instrument and z.i between a.i - 288 and a.i - 1 group by all),
+kk as (select jj.instrument, jj.bar_us, jj.ret, jj.m, median(abs(abs(z.ret) - jj.m)) as d from jj join rr z on jj.instrument = z.instrument and z.i between jj.i - 288 and jj.i - 1 where jj.n = 288 group by all) select instrument, bar_us, {qz('ret', 9)} as bar_return, cast(sign(ret) as integer) as side from kk where d > 0 and abs(ret) > m + 3.0 * 1.4826 * d""",
+    "win19_sweeps_48": f"with {_M1}, ww as (select *, max(high) over w as h, min(low) over w as l, count(*) over w as n from m1 window w as ({_WI} rows between 48 preceding and 1 preceding)) select instrument, bar_us, case when high > h and close < h then -1 else 1 end as side from ww where n = 48 and ((high > h and close < h) or (low < l and close > l))",
     "win12_states": f"with {_STATES} select instrument, bar_us, trend, rej as rejection, {qz('displacement', 5)} as displacement, {qz('far', 5)} as far_return, {qz('eff', 5)} as efficiency, {qz('exp_', 5)} as expansion from stt",
     "sim13_family_episodes": f"with recursive {_FAM} select instrument, bar_us, family, side, {qz('strength', 5)} as strength from fh",
     "lab14_tournament": f"with recursive {_FAM}, {_MOUT}, oo as (select * from o1 union all select * from o5 union all select * from o15 union all select * from o30), r as (select family, steps, case when ok then case when side > 0 then lg else sh end end as net from fh join oo using (instrument, bar_us)) select family, steps, count(*) as episodes, count(*) - count(net) as invalid, {qz('avg(net)', 4)} as mean, {qz('avg(case when net > 0 then 1.0 when net <= 0 then 0.0 end)', 5)} as win_rate from r group by family, steps",
@@ -287,4 +301,4 @@ mo as (select level_s, h, slip, 'continuation' as model, g * side as gross, case
 select level_s, h as horizon_s, model, slip, count(*) as n, {qz('avg(gross)', 4)} as gross, {qz('avg(net)', 4)} as net, {qz('avg(case when net > 0 then 1.0 else 0.0 end)', 4)} as win_rate from mo group by all""",
     "lab12_confirmation": _CONF,
 }
-QUERIES = {f.__name__: f for f in (win12_states, sim13_family_episodes, lab14_tournament, lab08_regime_gates, sim19_ledger, lab16_robustness, lab19_gap_semantics, lab04_feasibility, lab12_confirmation)}
+QUERIES = {f.__name__: f for f in (win12_states, win17_shocks_288, win19_sweeps_48, sim13_family_episodes, lab14_tournament, lab08_regime_gates, sim19_ledger, lab16_robustness, lab19_gap_semantics, lab04_feasibility, lab12_confirmation)}
