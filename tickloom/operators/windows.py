@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.bars import SERIES
 from tickloom.operators.classify import session_of
 from tickloom.operators.shards import DAY_US, core, running_max, running_sum, shard_of, with_halo
+from tickloom.session import held
 
 SECOND = 1_000_000
 
@@ -170,8 +171,10 @@ def shocks(bars: DataFrame, lookback: int = 48, threshold: float = 3.0) -> DataF
         s, n = F.array_sort(values), F.size(values)
         return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
-    rows = moved.withColumn("_h", F.collect_list("_a").over(before)).where(F.size("_h") == lookback).withColumn("_m", middle(F.col("_h")))
-    rows = rows.withColumn("_d", middle(F.transform("_h", lambda x: F.abs(x - F.col("_m")))))
+    rows = moved.withColumn("_h", F.collect_list("_a").over(before)).where(F.size("_h") == lookback)
+    # each median once per row, not once per element of the other
+    rows = held(rows, _m=middle(F.col("_h")))
+    rows = held(rows, _d=middle(F.transform("_h", lambda x: F.abs(x - F.col("_m")))))
     limit = F.col("_m") + threshold * 1.4826 * F.col("_d")
     return rows.where((F.col("_d") > 0) & (F.col("_a") > limit)).select(*SERIES, "bar_us", "bar_return", F.signum("bar_return").cast("int").alias("side"))
 
